@@ -8,31 +8,41 @@ from pyspark.sql import functions as F
 from .text import is_iso_date, is_iso_datetime
 
 
-def with_json(df: DataFrame, body: str, out: str) -> DataFrame:
-    """Add `out`: the strictly parsed `body`, NULL when it is not exactly one JSON value.
+# Three closing brackets in a row, the only way a body can end the wrapping of `with_json` early.
+_CLOSES_WRAPPING = r"\][ \t\r\n]*\][ \t\r\n]*\]"
 
-    `try_parse_json` ignores text after the first value, so the body is parsed inside brackets,
-    where such text either breaks the array or adds an element. A body that closes the bracket
-    itself needs a second, differently wrapped parse; only bodies holding a `]` pay for it.
-    Each parse gets its own projection so that the optimizer evaluates it once per row.
+
+def _wrapped(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("[[["), text, F.lit(",0]]]")))
+
+
+def _one_value(wrapped: Column, text: Column) -> Column:
+    absent = lambda path: F.try_variant_get(wrapped, path, "variant").isNull()
+    closes = F.contains(text, F.lit("]")) & text.rlike(_CLOSES_WRAPPING)
+    again = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(
+        ~absent("$[0][0][1]") & absent("$[0][0][2]") & absent("$[0][1]") & absent("$[1]") & (~closes | again),
+        F.lit(False))
+
+
+def with_json(df: DataFrame, body: str, out: str, valid: str) -> DataFrame:
+    """Add `valid`, whether `body` is exactly one JSON value, and `out`, that value or NULL.
+
+    `try_parse_json` ignores text after the first value, so the body is parsed inside brackets and
+    before a closing 0: further values or brackets then move elements to other places, and only a
+    body with three closing brackets in a row can end the wrapping early and needs a second,
+    differently wrapped parse. Each step has its own projection so that the optimizer evaluates it
+    once per row.
     """
-    text = F.col(body)
-    listed = df.withColumn(out, F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    single = F.try_variant_get(out, "$[1]", "variant").isNull()
-    closed = ~F.contains(text, F.lit("]")) | F.try_parse_json(
-        F.concat(F.lit('{"w":'), text, F.lit("}"))
-    ).isNotNull()
-    return listed.withColumn(out, F.when(single & closed, F.try_variant_get(out, "$[0]", "variant")))
+    listed = df.withColumn(out, _wrapped(F.col(body)))
+    checked = listed.withColumn(valid, _one_value(F.col(out), F.col(body)))
+    return checked.withColumn(out, F.when(F.col(valid), F.try_variant_get(out, "$[0][0][0]", "variant")))
 
 
 def is_strict_json(text: Column) -> Column:
     """Whether `text` is exactly one JSON value, as one boolean expression."""
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    shaped = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(
-        listed, "$[1]", "variant"
-    ).isNull()
-    wrapped = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}"))).isNotNull()
-    return F.coalesce(shaped & wrapped, F.lit(False))
+    checks = F.transform(F.array(_wrapped(text)), lambda wrapped: _one_value(wrapped, text))
+    return F.element_at(checks, 1)
 
 
 def is_array(value: Column) -> Column:

@@ -60,24 +60,3 @@ def error_snippet(body: Column) -> Column:
 def path_text(path: Column) -> Column:
     """Display form of a path: `address.city`, `items[].sku`; the root is empty."""
     return F.regexp_replace(F.array_join(path, ""), r"\A\.", "")
-
-
-def parent_path(path: Column) -> Column:
-    return F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
-
-
-def is_field_path(path: Column) -> Column:
-    """Whether the last step is a field; false for the root and for array elements."""
-    return F.coalesce(F.try_element_at(path, F.lit(-1)).startswith("."), F.lit(False))
-
-
-def anchor_length(path: Column) -> Column:
-    """Length of `path` without its trailing element steps."""
-    ends = F.transform(path, lambda step, i: F.when(step.startswith("."), i + 1).otherwise(0))
-    return F.coalesce(F.array_max(ends), F.lit(0))
-
-
-def name_hint(path: Column, root_name: Column) -> Column:
-    """Name a record gets from its position: its last field step, or the root's name."""
-    fields = F.filter(path, lambda step: step.startswith("."))
-    return F.coalesce(F.substring(F.try_element_at(fields, F.lit(-1)), 2, 2**31 - 1), root_name)

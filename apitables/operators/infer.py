@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json import with_json, with_kind
-from ..functions.text import anchor_length, is_field_path, name_hint, parent_path
 from ..session import configure, materialize
-from .keyed import ENDPOINT, join_keyed
+from .keyed import ENDPOINT
 from .screen import REC_KEY, unwrap
 
 # Deepest nesting a body may have, as for the JSON reader whose results are matched.
@@ -32,61 +31,59 @@ _RECORD_UNIT = 10**17
 KINDS = ["null", "bool", "int", "float", "string", "date", "datetime", "array", "record"]
 
 
-def _leaves(df: DataFrame, depth: int) -> tuple[DataFrame, list[str]]:
-    """Expand column `v` to its leaves, `depth` levels down, without leaving the stage.
+def _quoted(names: Sequence[str], prefix: str = "") -> str:
+    return "".join(f"{prefix}`{n}`, " for n in names)
 
-    `lead` is the depth from which a leaf is the first one below its ancestors: counting a leaf
-    for the ancestors at or below `lead` counts every container exactly once. Rows are never
-    filtered here, as a pushed-down filter would repeat the JSON parse.
+
+def _leaves(df: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
+    """Expand the variant `record` to its leaves, `depth` levels down, without leaving the stage.
+
+    Columns: k0.. (the keys), rec_key, issue, s1.. (one step per level), v, lead, place. `lead` is
+    the depth from which a leaf is the first one below its ancestors: counting a leaf for its
+    ancestors at or below `lead` counts every container exactly once. Rows are never filtered
+    here, as a pushed-down filter would repeat the JSON parse.
     """
-    tvf = df.sparkSession.tvf
-    base = df.columns
-    carried = [c for c in base if c != "v"]
-    cur = df.select(*base, F.lit(0).alias("lead"), F.lit(0).alias("nest"),
-                    F.lit(0).cast("long").alias("place"))
-    steps: list[str] = []
+    named = "".join(f"`{k}` AS k{i}, " for i, k in enumerate(keys))
+    carried = "".join(f"k{i}, " for i in range(len(keys))) + "rec_key, issue, "
+    query = (f"SELECT {named} CAST(rec_key AS {REC_KEY}) AS rec_key, issue, record AS v, "
+             f"0 AS lead, 0 AS nest, 0L AS place FROM {{df}}")
+    positions = " ".join(f"WHEN {i} THEN least(CAST(pos AS BIGINT), {top}L) * {unit}L"
+                         for i, (unit, top) in enumerate(_POSITIONS))
+    steps = ""
     for level in range(1, depth + 1):
-        grown = cur.lateralJoin(tvf.variant_explode_outer(F.col("v").outer()))
-        pos, element = F.col("pos"), F.col("pos").isNotNull() & F.col("key").isNull()
-        place = F.lit(0).cast("long")
-        for i, (unit, top) in reversed(list(enumerate(_POSITIONS))):
-            place = F.when(F.col("nest") == i, F.least(pos.cast("long"), F.lit(top)) * unit).otherwise(place)
-        cur = grown.select(
-            *carried, *steps,
-            F.when(element, "[]").otherwise(F.concat(F.lit("."), F.col("key"))).alias(f"_s{level}"),
-            F.when(pos.isNull(), F.col("v")).otherwise(F.col("value")).alias("v"),
-            F.when(pos > 0, level).otherwise(F.col("lead")).alias("lead"),
-            F.when(element, F.col("nest") + 1).otherwise(F.col("nest")).alias("nest"),
-            F.when(element, F.col("place") + place).otherwise(F.col("place")).alias("place"),
-        )
-        steps.append(f"_s{level}")
-    return cur, steps
+        element = "(pos IS NOT NULL AND key IS NULL)"
+        query = f"""
+            SELECT {carried} {steps} IF({element}, '[]', '.' || key) AS s{level},
+                   IF(pos IS NULL, v, value) AS v, IF(pos > 0, {level}, lead) AS lead,
+                   IF({element}, nest + 1, nest) AS nest,
+                   IF({element}, place + CASE nest {positions} ELSE 0L END, place) AS place
+            FROM ({query}), LATERAL variant_explode_outer(v)"""
+        steps += f"s{level}, "
+    return df.sparkSession.sql(query, df=df)
+
+
+def _steps(depth: int) -> list[str]:
+    return [f"s{level}" for level in range(1, depth + 1)]
 
 
 def _profile(df: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
-    """(keys, leaf path, kind, lead) with counts and first order key; see `_leaves`."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    start = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)],
-                      F.col("rec_key").cast(REC_KEY).alias("rec_key"), "issue",
-                      F.col("record").alias("v"))
-    leaves, steps = _leaves(start, depth)
-    kinds = with_kind(leaves, "v", "_kind")
-    order = (F.col("rec_key") * F.lit(_RECORD_UNIT).cast("decimal(18,0)")
-             + F.col("place").cast("decimal(17,0)")).cast(ORDER)
-    # Only the deepest step can hide an unexpanded container.
-    hidden = F.col(steps[-1]).isNotNull() & F.col("_kind").isin("record", "array")
-    counted = (
-        kinds.select(*names, *steps, F.coalesce(F.col("issue"), F.col("_kind")).alias("kind"),
-                     F.col("issue").isNotNull().alias("issue"), hidden.alias("hidden"), "lead",
-                     order.alias("ord"))
-        .groupBy(*names, *steps, "kind", "issue", "hidden", "lead")
-        .agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
-    )
-    return counted.select(
-        *[F.col(n).alias(k) for k, n in zip(keys, names)],
-        F.filter(F.array(*steps), lambda s: s.isNotNull()).alias("path"),
-        "kind", "issue", "hidden", "lead", "n", "first_ord",
-    )
+    """(keys, leaf path, kind, lead) with counts and first order key; see `_leaves`.
+
+    `hidden` marks containers at the last level, whose content was not looked into.
+    """
+    group = "".join(f"k{i}, " for i in range(len(keys))) + ", ".join(_steps(depth))
+    query = f"""
+        SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))}
+               filter(array({", ".join(_steps(depth))}), s -> s IS NOT NULL) AS path,
+               kind, issue, hidden, lead, n, first_ord
+        FROM (SELECT {group}, kind, issue, hidden, lead, count(*) AS n, min(ord) AS first_ord
+              FROM (SELECT {group}, coalesce(issue, kind) AS kind, issue IS NOT NULL AS issue,
+                           s{depth} IS NOT NULL AND kind IN ('record', 'array') AS hidden, lead,
+                           CAST(rec_key * CAST({_RECORD_UNIT} AS DECIMAL(18,0))
+                                + CAST(place AS DECIMAL(17,0)) AS {ORDER}) AS ord
+                    FROM {{leaves}})
+              GROUP BY {group}, kind, issue, hidden, lead)"""
+    return df.sparkSession.sql(query, leaves=with_kind(_leaves(df, keys, depth), "v", "kind"))
 
 
 def profile(df: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int | None = None) -> DataFrame:
@@ -111,22 +108,19 @@ def profile(df: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int | None = N
         levels = min(levels * 4, MAX_DEPTH)
 
 
+# The ancestors of a leaf it is counted for, and itself: `len` steps of its path. The kind of an
+# ancestor follows from the step below it.
+_ANCESTORS = """explode(IF({issue}, array(0), sequence(least(lead, size(path)), size(path)))) AS len"""
+_ANCESTOR_KIND = """CASE WHEN len = size(path) THEN kind WHEN path[len] = '[]' THEN 'array' ELSE 'record' END"""
+
+
 def _count_containers(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Turn leaf counts into counts of every node: the kind above a step follows from the step."""
-    size = F.size("path")
-    below = F.try_element_at(F.col("path"), F.col("_len") + 1)
-    return (
-        leaves.withColumn("_len", F.explode(F.when(F.col("issue"), F.array(F.lit(0)))
-                                            .otherwise(F.sequence(F.least(F.col("lead"), size), size))))
-        .select(
-            *keys, F.slice("path", F.lit(1), F.col("_len")).alias("path"),
-            F.when(F.col("_len") == size, F.col("kind")).when(below == "[]", "array")
-            .otherwise("record").alias("kind"),
-            "issue", "n", "first_ord",
-        )
-        .groupBy(*keys, "path", "kind", "issue")
-        .agg(F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
-    )
+    """Turn leaf counts into counts of every node."""
+    return leaves.sparkSession.sql(f"""
+        SELECT {_quoted(keys)} slice(path, 1, len) AS path, {_ANCESTOR_KIND} AS kind, issue,
+               sum(n) AS n, min(first_ord) AS first_ord
+        FROM (SELECT *, {_ANCESTORS.format(issue="issue")} FROM {{leaves}})
+        GROUP BY ALL""", leaves=leaves)
 
 
 def path_stats(profiled: DataFrame) -> DataFrame:
@@ -134,88 +128,74 @@ def path_stats(profiled: DataFrame) -> DataFrame:
     return profiled.filter(~F.col("issue")).drop("issue")
 
 
-def flatten(records: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int | None = None) -> DataFrame:
-    """One row per leaf value (path, kind, order key), for callers that want the values' places."""
+def flatten(records: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int = FIRST_DEPTH) -> DataFrame:
+    """One row per JSON value: keys, rec_key, path, kind. Fails when a record is deeper than `depth`."""
     configure(records.sparkSession)
-    if depth is None:
-        depth = FIRST_DEPTH
-        while depth < MAX_DEPTH and not _profile(
-            records.withColumn("issue", F.lit(None).cast("string")), keys, depth
-        ).filter("hidden").isEmpty():
-            depth = min(depth * 4, MAX_DEPTH)
-    names = [f"_k{i}" for i in range(len(keys))]
-    start = records.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)],
-                           F.col("rec_key"), F.col("record").alias("v"))
-    leaves, steps = _leaves(start, depth)
-    whole = with_kind(leaves, "v", "_kind")
-    path = F.filter(F.array(*steps), lambda s: s.isNotNull())
-    size = F.size("path")
-    below = F.try_element_at(F.col("path"), F.col("_len") + 1)
-    return (
-        whole.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "rec_key", path.alias("path"),
-                     F.col("_kind").alias("_leaf"), "lead")
-        .withColumn("_len", F.explode(F.sequence(F.least(F.col("lead"), size), size)))
-        .select(*keys, F.slice("path", F.lit(1), F.col("_len")).alias("path"),
-                F.when(F.col("_len") == size, F.col("_leaf")).when(below == "[]", "array")
-                .otherwise("record").alias("kind"), "rec_key")
-    )
-
-
-def unify(stats: DataFrame, keys: Sequence[str] = ENDPOINT, root_name: Column | None = None) -> DataFrame:
+    start = records if "issue" in records.columns else records.withColumn("issue", F.lit(None).cast("string"))
+    leaves = with_kind(_leaves(start, keys, depth), "v", "kind")
+    return records.sparkSession.sql(f"""
+        SELECT {_quoted(keys)} rec_key, slice(path, 1, len) AS path, {_ANCESTOR_KIND} AS kind
+        FROM (SELECT *, {_ANCESTORS.format(issue="false")}
+              FROM (SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))} rec_key, lead,
+                           filter(array({", ".join(_steps(depth))}), s -> s IS NOT NULL) AS path,
+                           IF(s{depth} IS NOT NULL AND kind IN ('record', 'array'),
+                              raise_error('a record is nested deeper than depth'), kind) AS kind
+                    FROM {{leaves}}))""", leaves=leaves)
+
+
+_IS_FIELD = "coalesce(try_element_at(path, -1) LIKE '.%', false)"
+
+
+def unify(stats: DataFrame, keys: Sequence[str] = ENDPOINT, root_name: str = "endpoint") -> DataFrame:
     """Reduce path statistics to one row per path: the inferred schema.
 
     Columns: keys, path, depth, name, members (kinds in order of first appearance), optional,
-    first_ord, step_rank, label. More than one member is a union.
+    first_ord, step_rank, label. More than one member is a union. `root_name` is an SQL
+    expression over the keys.
+
+    Integers widen to floats, dates and datetimes to strings. A null field is optional rather than
+    a union with null; a null element or root stays a member. Every array vouches for an
+    `unknown` element, which any real element replaces.
     """
-    root = root_name if root_name is not None else F.col("endpoint")
-    seen = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.col("first_ord")))
-    total = lambda *kinds: F.coalesce(
-        F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
-    wide = stats.groupBy(*keys, "path").agg(
-        F.sum("n").alias("_n"), total("null").alias("_nulls"), total("record").alias("_records"),
-        seen("float").alias("_float"), seen("string").alias("_string"),
-        seen("int", "float").alias("_number"), seen("date", "datetime", "string").alias("_texts"),
-        *[seen(k).alias(f"_{k}_ord") for k in ("null", "bool", "date", "datetime", "array", "record")],
-        F.min("first_ord").alias("first_ord"),
-    )
-    field = is_field_path(F.col("path"))
-    dissolve = field & (F.col("_n") > F.col("_nulls"))
-    slot = lambda order, kind: F.struct(order.alias("o"), kind.alias("k"))
-    plain = F.col("_string").isNull()
-    slots = F.array(
-        slot(F.col("_number"), F.when(F.col("_float").isNotNull(), "float").otherwise("int")),
-        slot(F.when(~plain, F.col("_texts")), F.lit("string")),
-        slot(F.when(plain, F.col("_date_ord")), F.lit("date")),
-        slot(F.when(plain, F.col("_datetime_ord")), F.lit("datetime")),
-        slot(F.when(~dissolve, F.col("_null_ord")), F.lit("null")),
-        *[slot(F.col(f"_{k}_ord"), F.lit(k)) for k in ("bool", "array", "record")],
-    )
-    members = F.transform(F.array_sort(F.filter(slots, lambda s: s["o"].isNotNull())), lambda s: s["k"])
-    nodes = wide.select(*keys, "path", members.alias("members"), "_n", "_nulls", "_records", "first_ord")
-
-    # Element rows of arrays that never held an element.
-    element = F.concat("path", F.array(F.lit("[]")))
-    empty = join_keyed(
-        nodes.filter(F.array_contains("members", "array"))
-        .select(*keys, element.alias("path"), F.array(F.lit("unknown")).alias("members"),
-                F.lit(1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_nulls"),
-                F.lit(0).cast("long").alias("_records"), "first_ord"),
-        nodes.select(*keys, "path"), [*keys, "path"], "left_anti")
-    nodes = nodes.unionByName(empty)
-
-    parents = nodes.filter(F.array_contains("members", "record") | F.array_contains("members", "array")).select(
-        *keys, F.col("path").alias("_parent"), F.col("_records").alias("_holders"),
-        F.array_position("members", "record").alias("_as_record"),
-        F.array_position("members", "array").alias("_as_array"))
-    joined = join_keyed(nodes.withColumn("_parent", F.when(F.size("path") > 0, parent_path(F.col("path")))),
-                        parents, [*keys, "_parent"], "left")
-    missing = F.col("_n") < F.col("_holders")
-    nulled = (F.col("_nulls") > 0) & (F.col("_n") > F.col("_nulls"))
-    return with_labels(joined.select(
-        *keys, "path", F.size("path").alias("depth"), name_hint(F.col("path"), root).alias("name"),
-        "members", (field & (missing | nulled)).alias("optional"), "first_ord",
-        F.when(field, F.col("_as_record")).otherwise(F.col("_as_array")).cast("int").alias("step_rank"),
-    ), keys)
+    first = lambda *kinds: f"min(IF(kind IN ({', '.join(map(repr, kinds))}), first_ord, NULL))"
+    count = lambda kind: f"sum(IF(kind = '{kind}', n, 0))"
+    nodes = f"""
+        SELECT {_quoted(keys)} path, present, nulls, records, first_ord,
+               IF(size(slots) = 0, array('unknown'), transform(array_sort(slots), s -> s.kind)) AS members
+        FROM (SELECT *, filter(array(
+                    named_struct('ord', number, 'kind', IF(float IS NULL, 'int', 'float')),
+                    named_struct('ord', IF(string IS NULL, NULL, text), 'kind', 'string'),
+                    named_struct('ord', IF(string IS NULL, date, NULL), 'kind', 'date'),
+                    named_struct('ord', IF(string IS NULL, datetime, NULL), 'kind', 'datetime'),
+                    named_struct('ord', IF({_IS_FIELD} AND present > nulls, NULL, null_ord), 'kind', 'null'),
+                    named_struct('ord', bool, 'kind', 'bool'),
+                    named_struct('ord', `array`, 'kind', 'array'),
+                    named_struct('ord', record, 'kind', 'record')), s -> s.ord IS NOT NULL) AS slots
+              FROM (SELECT {_quoted(keys)} path, sum(n) AS present, {count("null")} AS nulls,
+                           {count("record")} AS records, min(first_ord) AS first_ord,
+                           {first("int", "float")} AS number, {first("float")} AS float,
+                           {first("string")} AS string, {first("date", "datetime", "string")} AS text,
+                           {first("date")} AS date, {first("datetime")} AS datetime,
+                           {first("null")} AS null_ord, {first("bool")} AS bool,
+                           {first("array")} AS `array`, {first("record")} AS record
+                    FROM (SELECT {_quoted(keys)} inline(IF(kind = 'array',
+                                 array(struct(path, kind, n, first_ord),
+                                       struct(path || array('[]') AS path, 'unknown' AS kind, 0L AS n, first_ord)),
+                                 array(struct(path, kind, n, first_ord))))
+                          FROM {{stats}})
+                    GROUP BY {_quoted(keys)} path))"""
+    same = "".join(f"n.`{k}` <=> p.`{k}` AND " for k in keys)
+    joined = stats.sparkSession.sql(f"""
+        WITH nodes AS ({nodes})
+        SELECT {_quoted(keys, "n.")} n.path, size(n.path) AS depth,
+               n.name, n.members, n.first_ord,
+               n.field AND (n.present < p.records OR (n.nulls > 0 AND n.present > n.nulls)) AS optional,
+               CAST(array_position(p.members, IF(n.field, 'record', 'array')) AS INT) AS step_rank
+        FROM (SELECT *, {_IS_FIELD} AS field,
+                     coalesce(substring(try_element_at(filter(path, s -> s LIKE '.%'), -1), 2), {root_name}) AS name,
+                     IF(size(path) > 0, slice(path, 1, size(path) - 1), NULL) AS parent FROM nodes) n
+        LEFT JOIN nodes p ON {same} n.parent = p.path""", stats=stats)
+    return with_labels(joined, keys)
 
 
 def with_labels(nodes: DataFrame, keys: Sequence[str] = ENDPOINT, name: str = "name") -> DataFrame:
@@ -225,28 +205,32 @@ def with_labels(nodes: DataFrame, keys: Sequence[str] = ENDPOINT, name: str = "n
     `p, p[], p[][]` meet in one group, as long as arrays are nested, and fold from the inside out.
     """
     columns = [c for c in nodes.columns if c not in (*keys, "label")]
-    anchor = F.slice("path", F.lit(1), anchor_length(F.col("path")))
-    row = F.struct((-F.size("path")).alias("_neg"), *[F.col(c) for c in columns])
-    chains = nodes.groupBy(*keys, anchor.alias("_anchor")).agg(F.array_sort(F.collect_list(row), lambda a, b: a["_neg"] - b["_neg"]).alias("_chain"))
-
-    def step(acc: Column, x: Column) -> Column:
-        inner = F.when(acc["wide"], F.concat(F.lit("("), acc["inner"], F.lit(")"))).otherwise(acc["inner"])
-        texts = F.transform(x["members"], lambda m: F.when(m == "array", F.concat(inner, F.lit("[]")))
-                            .when(m == "record", x[name]).otherwise(m))
-        label = F.array_join(texts, " | ")
-        return F.struct(label.alias("inner"), (F.size(x["members"]) > 1).alias("wide"),
-                        F.concat(acc["labels"], F.array(label)).alias("labels"))
-
-    start = F.struct(F.lit("").alias("inner"), F.lit(False).alias("wide"),
-                     F.array().cast("array<string>").alias("labels"))
-    labels = F.aggregate("_chain", start, step, lambda acc: acc["labels"])
-    folded = chains.select(*keys, F.explode(F.arrays_zip(F.col("_chain").alias("c"), labels.alias("l"))).alias("_z"))
-    return folded.select(*keys, *[F.col(f"_z.c.{c}") for c in columns], F.col("_z.l").alias("label"))
-
-
-def optionality(stats: DataFrame, keys: Sequence[str] = ENDPOINT, root_name: Column | None = None) -> DataFrame:
+    label = _LABEL.format(name=name)
+    return nodes.sparkSession.sql(f"""
+        SELECT {_quoted(keys)} {_quoted(columns, "z.chain.")} z.labels AS label
+        FROM (SELECT {_quoted(keys)} explode(arrays_zip(chain, labels)) AS z
+              FROM (SELECT *, aggregate(chain,
+                        named_struct('inner', '', 'labels', CAST(array() AS ARRAY<STRING>)),
+                        (acc, x) -> named_struct(
+                            'inner', IF(size(x.members) > 1, '(' || {label} || ')', {label}),
+                            'labels', acc.labels || array({label})),
+                        acc -> acc.labels) AS labels
+                    FROM (SELECT {_quoted(keys)}
+                                 array_sort(collect_list(struct({_quoted(columns)[:-2]})),
+                                            (a, b) -> size(b.path) - size(a.path)) AS chain
+                          FROM {{nodes}}
+                          GROUP BY {_quoted(keys)} slice(path, 1, {_ANCHOR}))))""", nodes=nodes)
+
+
+# Length of a path without its trailing element steps.
+_ANCHOR = "coalesce(array_max(transform(path, (s, i) -> IF(s LIKE '.%', i + 1, 0))), 0)"
+_LABEL = ("array_join(transform(x.members, m -> CASE m WHEN 'array' THEN acc.inner || '[]' "
+          "WHEN 'record' THEN x.`{name}` ELSE m END), ' | ')")
+
+
+def optionality(stats: DataFrame, keys: Sequence[str] = ENDPOINT, root_name: str = "endpoint") -> DataFrame:
     """Which fields some record of their parent lacks or holds as null."""
-    return unify(stats, keys, root_name).filter(is_field_path(F.col("path"))).select(*keys, "path", "optional")
+    return unify(stats, keys, root_name).filter(_IS_FIELD).select(*keys, "path", "optional")
 
 
 def infer_schema(responses: DataFrame, depth: int | None = None) -> DataFrame:
@@ -269,8 +253,8 @@ def column_profile(df: DataFrame, json_col: str, keys: Sequence[str] = (), order
     text = df.select(*[F.col(f"`{k}`") for k in keys],
                      (F.col(f"`{order}`") if order else F.lit(0)).cast(REC_KEY).alias("rec_key"),
                      F.col(f"`{json_col}`").alias("_text_in"))
-    parsed = with_json(text, "_text_in", "record").withColumn(
-        "issue", F.when(F.col("record").isNull(), "json"))
+    parsed = with_json(text, "_text_in", "record", "_valid").withColumn(
+        "issue", F.when(~F.col("_valid"), "json"))
     return profile(parsed, keys, depth)
 
 
@@ -278,4 +262,4 @@ def infer_column(df: DataFrame, json_col: str, keys: Sequence[str] = (), order:
                  root_name: str = "record", depth: int | None = None) -> DataFrame:
     """Schema of any JSON text column per `keys`; every text is one record."""
     stats = path_stats(column_profile(df, json_col, keys, order, depth))
-    return unify(stats, keys, F.lit(root_name))
+    return unify(stats, keys, "'" + root_name.replace("'", "\\'") + "'")

@@ -83,7 +83,7 @@ def unwrap(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "source", "endpoint", "response_ord", *keep, good.alias("_good"),
         F.when(good, F.col("body")).alias("_body"),
     )
-    parsed = detect_envelope(with_json(body, "_body", "v"), "v")
+    parsed = detect_envelope(with_json(body, "_body", "v", "_valid"), "v")
     spark = responses.sparkSession
     exploded = parsed.lateralJoin(spark.tvf.variant_explode_outer(F.col("record_set").outer()))
     single = F.col("record_set").isNull()
@@ -94,7 +94,7 @@ def unwrap(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("rec_ord"),
         F.when(single, F.col("v")).otherwise(F.col("value")).alias("record"),
         F.when(~F.col("_good"), "status")
-        .when(F.col("v").isNull(), "json")
+        .when(~F.col("_valid"), "json")
         .when(~single & F.col("pos").isNull(), "empty").alias("issue"),
     )
 

@@ -36,7 +36,9 @@ def test_offsets(spark):
 
 def test_strict_json(spark):
     good = ['{"a":1}', "[1]", "1", '"x"', " null ", "[]", "{}", '{"a":1,"a":2}', '{"a":"]"}', "[[1],[2]]"]
-    bad = ['{"a":1} x', "[1] [2]", "1,2", "", " ", "1]", '{"a":1}]', "1} {", "NaN", "01", "<html>", '{"a":', "1] [2"]
+    bad = ['{"a":1} x', "[1] [2]", "1,2", "", " ", "1]", '{"a":1}]', "1} {", "NaN", "01", "<html>", '{"a":', "1] [2",
+           "1]]", "1]]]", "1]]] x", '{"a":1}]]]', "1],[2", "1]], [[2", "1]],2] x", ",", "1,", "[[[1]]]]"]
+    good += ["[[[1]]]", "[[[[]]]]", '{"a":[[[1]]]}', '["]]]"]']
     df = spark.createDataFrame([(s,) for s in good + bad], "s string")
     got = {r.s: r.ok for r in df.select("s", is_strict_json(F.col("s")).alias("ok")).collect()}
     assert got == {**{s: True for s in good}, **{s: False for s in bad}}
