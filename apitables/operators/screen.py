@@ -31,13 +31,6 @@ def status_message(url: Column, status: Column, body: Column) -> Column:
     )
 
 
-def invalid_json_message(content_type: Column) -> Column:
-    return F.concat(
-        F.lit("response is not valid JSON (content type: "),
-        F.coalesce(content_type, F.lit("unknown")), F.lit(")"),
-    )
-
-
 def with_page(responses: DataFrame) -> DataFrame:
     if "response_ord" in responses.columns:
         return responses
@@ -75,12 +68,14 @@ def unwrap(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per record, plus one row without a record per response that has none.
 
     Columns: source, endpoint, response_ord, `keep`, envelope, rec_key, record and `issue`
-    (NULL, 'status', 'json' or 'empty'). Everything stays in the scan's own stage.
+    (NULL, 'status', 'empty' or 'json <status> <content type>'). Everything stays in the scan's own stage.
     """
     pages = with_page(responses)
     good = is_success(F.col("status"))
     body = pages.select(
         "source", "endpoint", "response_ord", *keep, good.alias("_good"),
+        F.concat_ws(" ", F.lit("json"), F.col("status").cast("string"),
+                    F.coalesce("content_type", F.lit("unknown"))).alias("_answer"),
         F.when(good, F.col("body")).alias("_body"),
     )
     parsed = detect_envelope(with_json(body, "_body", "v", "_valid"), "v")
@@ -94,7 +89,7 @@ def unwrap(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("rec_ord"),
         F.when(single, F.col("v")).otherwise(F.col("value")).alias("record"),
         F.when(~F.col("_good"), "status")
-        .when(~F.col("_valid"), "json")
+        .when(~F.col("_valid"), F.col("_answer"))
         .when(~single & F.col("pos").isNull(), "empty").alias("issue"),
     )
 

@@ -1,9 +1,15 @@
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
 from apitables.session import configure
 
 
+# Python workers inherit the environment of the session that starts them.
+os.environ["APITABLES_TEST_TOKEN"] = "s3cret"
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

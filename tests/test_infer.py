@@ -221,5 +221,5 @@ def test_null_keys_form_a_group(spark):
 def test_issue_rows_are_counted(spark):
     df = responses(spark, {"endpoint": "a", "status": 500, "body": "x"}, ("b", "<p>"), ("c", []), ("d", {"x": 1}))
     rows = profile(unwrap(df)).filter("issue").collect()
-    assert {(r.endpoint, r.kind, r.n) for r in rows} == {("a", "status", 1), ("b", "json", 1), ("c", "empty", 1)}
+    assert {(r.endpoint, r.kind, r.n) for r in rows} == {("a", "status", 1), ("b", "json 200 application/json", 1), ("c", "empty", 1)}
     assert path_stats(profile(unwrap(df))).count() == 2
