@@ -49,6 +49,29 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
         F.lit(None).cast("long").alias("elapsed_ms"))
 
 
+def judge_definitions(files: DataFrame) -> DataFrame:
+    """Add `doc`, the parsed definition, and `reason`, why it is unusable, to (file, text) rows."""
+    parsed = with_json(files, "text", "_v", "_valid").withColumn(
+        "doc", F.from_json("text", DEFINITION, {"mode": "PERMISSIVE"}))
+    reason = (
+        F.when(~F.col("_valid"), "not valid JSON")
+        .when(F.col("doc.name").isNull(), "not a source definition: `name` is missing")
+        .when(F.col("doc.name") != F.col("file"),
+              F.concat(F.lit("declared name `"), F.col("doc.name"), F.lit("` does not match the file name `"),
+                       F.col("file"), F.lit("`")))
+        .when(F.col("doc.base_url").isNull(), "not a source definition: `base_url` is missing")
+    )
+    return parsed.withColumn("reason", reason).drop("_v", "_valid")
+
+
+def split_definitions(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(definitions, quarantine), both sorted by name; a bad document never hides a good one."""
+    good = judged.filter(F.col("reason").isNull()).select("doc.*").withColumn(
+        "kind", F.coalesce("kind", F.lit("api"))).withColumn("auth_type", F.coalesce("auth_type", F.lit("none")))
+    bad = judged.filter(F.col("reason").isNotNull()).select(F.col("file").alias("name"), "reason")
+    return good.orderBy("name"), bad.orderBy("name")
+
+
 def load_with_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Source definitions landed as one JSON document per file, split into good and bad.
 
@@ -64,22 +87,7 @@ def load_with_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
         spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
         .select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("file"), F.col("value").alias("text"))
     )
-    parsed = with_json(files, "text", "v", "valid").select(
-        "file", "valid", F.from_json("text", DEFINITION, {"mode": "PERMISSIVE"}).alias("doc"),
-        F.schema_of_variant("v").startswith("OBJECT").alias("object"))
-    reason = (
-        F.when(~F.col("valid"), "not valid JSON")
-        .when(~F.col("object") | F.col("doc.name").isNull(), "not a source definition: `name` is missing")
-        .when(F.col("doc.name") != F.col("file"),
-              F.concat(F.lit("declared name `"), F.col("doc.name"), F.lit("` does not match the file name `"),
-                       F.col("file"), F.lit("`")))
-        .when(F.col("doc.base_url").isNull(), "not a source definition: `base_url` is missing")
-    )
-    marked = parsed.withColumn("reason", reason)
-    good = marked.filter(F.col("reason").isNull()).select("doc.*").withColumn(
-        "kind", F.coalesce("kind", F.lit("api"))).withColumn("auth_type", F.coalesce("auth_type", F.lit("none")))
-    bad = marked.filter(F.col("reason").isNotNull()).select(F.col("file").alias("name"), "reason")
-    return good.orderBy("name"), bad.orderBy("name")
+    return split_definitions(judge_definitions(files))
 
 
 def catalog_of(definitions: DataFrame) -> DataFrame:
