@@ -53,3 +53,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/apitables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a file scan with fewer splits than cores one partition per core.
+
+    Parsing documents costs far more than moving them, so a few large row groups should not decide
+    the parallelism. A scan with enough splits, which is any large one, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from apitables.operators.infer import infer_schema
 from apitables.operators.naming import normalise
 from apitables.plans.introspect import Sampled, sample
-from apitables.session import configure, materialize
+from apitables.session import configure, materialize, spread
 from apitables.sources.registry import Registry
 
 PAGE = 32
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become documents to parse."""
+    return spread(table(spark, sf_dir, name))
+
+
 def page_of(key: str) -> Column:
     return F.floor(F.col(key) / PAGE).cast("long")
 
@@ -124,7 +129,7 @@ def world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Sampl
 
 def nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as nested documents (l_returnflag, ord, doc); the discount is dropped where it is 0."""
-    rows = table(spark, sf_dir, "lineitem")
+    rows = documents(spark, sf_dir, "lineitem")
     doc = F.struct(
         F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line")).alias("key"),
         F.array("l_quantity", "l_extendedprice").alias("amounts"),
@@ -143,11 +148,11 @@ def contact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = lambda nation: F.col(nation) % 5 % 2 == 1
     source = lambda nation: F.concat(F.lit("s"), F.col(nation) % 5)
     home = lambda balance: F.struct(F.struct(F.col(balance).alias("lat")).alias("geo")).alias("home")
-    c = table(spark, sf_dir, "customer")
+    c = documents(spark, sf_dir, "customer")
     customers = landed(c, source("c_nationkey"), F.lit("customer"), F.col("c_custkey"), F.to_json(F.struct(
         F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("city"), F.col("c_nationkey").alias("zip")).alias("address"),
         home("c_acctbal"))))
-    s = table(spark, sf_dir, "supplier")
+    s = documents(spark, sf_dir, "supplier")
     suppliers = landed(s, source("s_nationkey"), F.lit("supplier"), F.col("s_suppkey"), F.to_json(F.struct(
         F.col("s_suppkey").alias("id"),
         F.struct(F.col("s_name").alias("city"), F.when(odd("s_nationkey"), F.col("s_nationkey")).alias("zip")).alias("address"),

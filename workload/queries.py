@@ -27,7 +27,7 @@ from apitables.sources.registry import read_registry, registry_state, write_regi
 from apitables.sources.typed import load_report, load_table
 
 from .bodies import (
-    catalog, contact_tables, landed, nested_lines, order_pages, registry, table, world, world_responses,
+    catalog, contact_tables, documents, landed, nested_lines, order_pages, registry, table, world, world_responses,
 )
 
 def _path():
@@ -42,8 +42,8 @@ def json_validity(spark, sf_dir):
              "two": F.concat(props, F.lit(","), props), "listed": F.concat(F.lit("["), props, F.lit("]")),
              "bracket": F.concat(props, F.lit("]"))}
     pairs = [x for name, text in forms.items() for x in (F.lit(name), text)]
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.explode(F.create_map(*pairs)).alias("form", "text"))
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("html").alias("form"), F.col("html").alias("text"))
+    rows = documents(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.explode(F.create_map(*pairs)).alias("form", "text"))
+    pages = documents(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("html").alias("form"), F.col("html").alias("text"))
     return rows.unionByName(pages).select("id", "form", is_strict_json(F.col("text")).alias("valid"))
 
 
@@ -84,7 +84,7 @@ def records_guard(spark, sf_dir):
 # --- inference -----------------------------------------------------------
 
 def path_stats_events(spark, sf_dir):
-    stats = path_stats(column_profile(table(spark, sf_dir, "events"), "props", ["event_type"], "event_id"))
+    stats = path_stats(column_profile(documents(spark, sf_dir, "events"), "props", ["event_type"], "event_id"))
     return stats.select("event_type", _path(), "kind", "n")
 
 
@@ -111,7 +111,7 @@ def value_kinds(spark, sf_dir):
         "datetime": F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"')),
     }
     pairs = [x for name, text in forms.items() for x in (F.lit(name), text)]
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.create_map(*pairs)).alias("form", "text"))
+    rows = documents(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.create_map(*pairs)).alias("form", "text"))
     return rows.select("o_orderkey", "form", value_kind(F.parse_json("text")).alias("kind"))
 
 
@@ -133,12 +133,12 @@ def iso_kinds(spark, sf_dir):
 
 
 def infer_events(spark, sf_dir):
-    nodes = infer_column(table(spark, sf_dir, "events"), "props", ["event_type"], "event_id")
+    nodes = infer_column(documents(spark, sf_dir, "events"), "props", ["event_type"], "event_id")
     return nodes.select("event_type", _path(), "label", "optional")
 
 
 def _optional_docs(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer")
+    rows = documents(spark, sf_dir, "customer")
     doc = F.concat(F.lit('{"id":'), F.col("c_custkey"),
                    F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.concat(F.lit(',"bal":'), F.col("c_acctbal"))),
                    F.when(F.col("c_custkey") % 7 == 0, ',"seg":null').otherwise(F.concat(F.lit(',"seg":"'), F.col("c_mktsegment"), F.lit('"'))),
@@ -160,7 +160,7 @@ def infer_union(spark, sf_dir):
     key = F.col("p_partkey")
     value = (F.when(key % 4 == 0, F.col("p_size").cast("string")).when(key % 4 == 1, F.concat(F.lit('"'), "p_name", F.lit('"')))
              .when(key % 4 == 2, F.lit('"2024-01-15"')).otherwise(F.col("p_retailprice").cast("string")))
-    docs = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat(F.lit('{"v":'), value, F.lit("}")).alias("doc"))
+    docs = documents(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat(F.lit('{"v":'), value, F.lit("}")).alias("doc"))
     return infer_column(docs, "doc", ["p_brand"], "p_partkey").filter("depth = 1").select("p_brand", "label", "optional")
 
 
@@ -184,7 +184,7 @@ def infer_responses(spark, sf_dir):
 # --- diff ----------------------------------------------------------------
 
 def _halves(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    orders = documents(spark, sf_dir, "orders")
     early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
     where = (F.lit("shop"), F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)), F.col("o_orderkey"))
     stored = landed(orders.filter(early), *where, F.to_json(F.struct(
@@ -205,7 +205,7 @@ def schema_diff(spark, sf_dir):
 
 
 def diff_nested_suppressed(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer")
+    rows = documents(spark, sf_dir, "customer")
     where = (F.lit("shop"), F.lower("c_mktsegment"), F.col("c_custkey"))
     stored = landed(rows, *where, F.to_json(F.struct(
         F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("city"), F.col("c_nationkey").alias("zip")).alias("addr")).alias("c"),
@@ -218,7 +218,7 @@ def diff_nested_suppressed(spark, sf_dir):
 
 
 def fingerprints(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer")
+    rows = documents(spark, sf_dir, "customer")
     shape = F.col("c_nationkey") % 3
     body = (F.when(shape == 0, F.to_json(F.struct(F.struct(F.col("c_custkey").alias("a"), F.col("c_name").alias("b")).alias("x"))))
             .when(shape == 1, F.to_json(F.struct(F.struct(F.col("c_name").alias("b"), F.col("c_nationkey").alias("a")).alias("x"))))
@@ -260,7 +260,7 @@ def unqualified_names(spark, sf_dir):
 
 
 def registry_problems(spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
+    parts = documents(spark, sf_dir, "part")
     body = F.when(F.col("p_size") % 2 == 0, F.to_json(F.struct(F.col("p_partkey").alias("id"), F.struct("p_size").alias("int"))))
     docs = landed(parts, F.lit("parts"), F.col("p_brand"), F.col("p_partkey"),
                   F.coalesce(body, F.to_json(F.struct(F.col("p_partkey").alias("part no")))))
@@ -363,7 +363,7 @@ def first_violations(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return documents(spark, sf_dir, "pages").select(
         "page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("place", "href"))
 
 
@@ -472,7 +472,7 @@ def union_conform(spark, sf_dir):
 
 
 def _dated_orders(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    orders = documents(spark, sf_dir, "orders")
     day = F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-02-31"))).otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd"))
     return landed(orders, F.lit("shop"), F.lit("orders"), F.col("o_orderkey"), F.to_json(F.struct(
