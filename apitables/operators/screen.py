@@ -21,7 +21,8 @@ _PAGE = 10**9
 
 
 def is_success(status: Column) -> Column:
-    return F.coalesce(status.between(200, 299), F.lit(False))
+    """2xx. Written so that a filter on it, or on its negation, reaches the scan."""
+    return status.isNotNull() & status.between(200, 299)
 
 
 def status_message(url: Column, status: Column, body: Column) -> Column:
@@ -70,28 +71,24 @@ def unwrap(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     Columns: source, endpoint, response_ord, `keep`, envelope, rec_key, record and `issue`
     (NULL, 'status', 'empty' or 'json <status> <content type>'). Everything stays in the scan's own stage.
     """
-    pages = with_page(responses)
-    good = is_success(F.col("status"))
-    body = pages.select(
-        "source", "endpoint", "response_ord", *keep, good.alias("_good"),
-        F.concat_ws(" ", F.lit("json"), F.col("status").cast("string"),
-                    F.coalesce("content_type", F.lit("unknown"))).alias("_answer"),
-        F.when(good, F.col("body")).alias("_body"),
-    )
-    parsed = detect_envelope(with_json(body, "_body", "v", "_valid"), "v")
     spark = responses.sparkSession
-    exploded = parsed.lateralJoin(spark.tvf.variant_explode_outer(F.col("record_set").outer()))
-    single = F.col("record_set").isNull()
-    return exploded.select(
-        "source", "endpoint", "response_ord", *keep, "envelope",
-        (F.col("response_ord").cast("decimal(12,0)") * F.lit(_PAGE).cast("decimal(10,0)")
-         + F.coalesce(F.col("pos"), F.lit(0)).cast("decimal(9,0)")).cast(REC_KEY).alias("rec_key"),
-        F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("rec_ord"),
-        F.when(single, F.col("v")).otherwise(F.col("value")).alias("record"),
-        F.when(~F.col("_good"), "status")
-        .when(~F.col("_valid"), F.col("_answer"))
-        .when(~single & F.col("pos").isNull(), "empty").alias("issue"),
-    )
+    kept = "".join(f"`{c}`, " for c in keep)
+    bodies = spark.sql(f"""
+        SELECT source, endpoint, response_ord, {kept} good,
+               concat_ws(' ', 'json', CAST(status AS STRING), coalesce(content_type, 'unknown')) AS answer,
+               IF(good, body, NULL) AS body
+        FROM (SELECT *, status IS NOT NULL AND status BETWEEN 200 AND 299 AS good FROM {{pages}})""",
+        pages=with_page(responses))
+    parsed = detect_envelope(with_json(bodies, "body", "v", "valid"), "v")
+    return spark.sql(f"""
+        SELECT source, endpoint, response_ord, {kept} envelope,
+               CAST(CAST(response_ord AS DECIMAL(12,0)) * CAST({_PAGE} AS DECIMAL(10,0))
+                    + CAST(coalesce(pos, 0) AS DECIMAL(9,0)) AS {REC_KEY}) AS rec_key,
+               CAST(coalesce(pos, 0) AS BIGINT) AS rec_ord,
+               IF(record_set IS NULL, v, value) AS record,
+               CASE WHEN NOT good THEN 'status' WHEN NOT valid THEN answer
+                    WHEN record_set IS NOT NULL AND pos IS NULL THEN 'empty' END AS issue
+        FROM {{parsed}}, LATERAL variant_explode_outer(record_set)""", parsed=parsed)
 
 
 def explode_records(responses: DataFrame) -> DataFrame:

@@ -47,11 +47,8 @@ def parse_enum(text: Column, mapping: Mapping[str, str]) -> Column:
 
 def enum_report(df: DataFrame, column: str, mapping: Mapping[str, str]) -> DataFrame:
     """How often each string that backs no variant occurs."""
-    known = df.sparkSession.createDataFrame([(k,) for k in mapping], "_known string")
-    return (
-        df.groupBy(column).agg(F.count("*").alias("n"))
-        .join(F.broadcast(known), F.col(column) == F.col("_known"), "left_anti")
-    )
+    unknown = F.col(column).isNull() | ~F.col(column).isin(*mapping)
+    return df.filter(unknown).groupBy(column).agg(F.count("*").alias("n"))
 
 
 def conforms(value: Column, types: Sequence[str]) -> Column:

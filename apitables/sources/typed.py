@@ -29,14 +29,23 @@ def spark_type(nodes: dict[tuple, object], path: tuple = ()) -> T.DataType:
     return T.VariantType()
 
 
-def _field(record: str, name: str, kind: T.DataType) -> Column:
+def _value(value: Column, kind: T.DataType) -> Column:
+    """A variant as `kind`; what cannot be cast is NULL by itself, not with all around it."""
+    if isinstance(kind, T.StructType):
+        inner = [_value(_get(value, f.name), f.dataType).alias(f.name) for f in kind]
+        return F.when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), F.struct(*inner))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: _value(x, kind.elementType))
+    if isinstance(kind, T.TimestampType):
+        # Offsets may come as +HHMM and letters in lower case, which the cast does not read.
+        text = F.upper(F.try_variant_get(value, "$", "string"))
+        return F.try_to_timestamp(F.regexp_replace(text, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2"))
+    return F.try_variant_get(value, "$", kind.simpleString())
+
+
+def _get(value: Column, name: str) -> Column:
     quoted = name.replace("\\", "\\\\").replace('"', '\\"')
-    path = f'$["{quoted}"]'
-    if not isinstance(kind, T.TimestampType):
-        return F.try_variant_get(record, path, kind.simpleString())
-    # Offsets may come as +HHMM and letters in lower case, which the cast does not read.
-    text = F.upper(F.try_variant_get(record, path, "string"))
-    return F.try_to_timestamp(F.regexp_replace(text, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2"))
+    return F.try_variant_get(value, f'$["{quoted}"]', "variant")
 
 
 def _plan(nodes: DataFrame) -> dict[tuple, object]:
@@ -58,7 +67,7 @@ def load_table(records: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     found = _plan(nodes)
     return records.select(*[
-        _field("record", p[-1][1:], spark_type(found, p)).alias(p[-1][1:]) for p in _children(found, ())])
+        _value(_get(F.col("record"), p[-1][1:]), spark_type(found, p)).alias(p[-1][1:]) for p in _children(found, ())])
 
 
 def load_report(records: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -67,11 +76,10 @@ def load_report(records: DataFrame, nodes: DataFrame) -> DataFrame:
     columns = _children(found, ())
     counts = []
     for i, p in enumerate(columns):
-        quoted = p[-1][1:].replace("\\", "\\\\").replace('"', '\\"')
-        raw = F.try_variant_get("record", f'$["{quoted}"]', "variant")
+        raw = _get(F.col("record"), p[-1][1:])
         present = raw.isNotNull() & ~F.is_variant_null(raw)
         counts += [F.count_if(present).alias(f"n{i}"),
-                   F.count_if(present & _field("record", p[-1][1:], spark_type(found, p)).isNull()).alias(f"l{i}")]
+                   F.count_if(present & _value(raw, spark_type(found, p)).isNull()).alias(f"l{i}")]
     wide = records.agg(*counts)
     rows = F.array(*[F.struct(F.lit(p[-1][1:]).alias("column"), F.col(f"n{i}").alias("present"), F.col(f"l{i}").alias("lost"))
                      for i, p in enumerate(columns)])

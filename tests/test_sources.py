@@ -51,19 +51,20 @@ def test_quarantine(spark, tmp_path):
 
 
 def test_typed_table(spark):
-    body = [{"id": 1, "d": "2024-02-29", "t": "2024-01-15t10:30:00-0530", "u": 1, "o": {"a": [1, 2]}, "a b": True},
-            {"id": 2, "d": "2024-02-31", "t": "2024-01-15T10:30:00z", "u": "x", "o": {"a": []}, "f": 1, "a b": None},
-            {"id": 9223372036854775808, "d": None, "t": "2024-01-15T10:30:00+14", "u": None, "o": {"a": [3]}, "f": 2.5}]
+    body = [{"id": 1, "d": "2024-02-29", "t": "2024-01-15t10:30:00-0530", "u": 1, "o": {"a": [1, 2], "when": "2024-01-01"}, "a b": True},
+            {"id": 2, "d": "2024-02-31", "t": "2024-01-15T10:30:00z", "u": "x", "o": {"a": [], "when": "2024-02-31"}, "f": 1, "a b": None},
+            {"id": 9223372036854775808, "d": None, "t": "2024-01-15T10:30:00+14", "u": None, "o": {"a": [3, 9223372036854775808], "when": "2024-01-03"}, "f": 2.5}]
     df = responses(spark, ("t", body))
     records, nodes = explode_records(df), infer_schema(df)
     table = load_table(records, nodes)
     assert table.schema.simpleString() == (
-        "struct<a b:boolean,d:date,id:bigint,o:struct<a:array<bigint>>,t:timestamp,u:variant,f:double>")
+        "struct<a b:boolean,d:date,id:bigint,o:struct<a:array<bigint>,when:date>,t:timestamp,u:variant,f:double>")
     rows = table.orderBy("t").drop("u").collect()
     utc = lambda *a: datetime.datetime(*a)
     assert [r.id for r in rows] == [None, 2, 1]
     assert [r.d for r in rows] == [None, None, datetime.date(2024, 2, 29)]
-    assert [r.o.a for r in rows] == [[3], [], [1, 2]]
+    assert [r.o.a for r in rows] == [[3, None], [], [1, 2]]
+    assert [str(r.o.when) for r in rows] == ["2024-01-03", "None", "2024-01-01"]
     assert [r.f for r in rows] == [2.5, 1.0, None]
     stamps = [r.s for r in table.orderBy("t").select(F.date_format("t", "yyyy-MM-dd HH:mm").alias("s")).collect()]
     assert stamps == ["2024-01-14 20:30", "2024-01-15 10:30", "2024-01-15 16:00"]
