@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import path_text
+from ..session import materialize
 from .keyed import ENDPOINT, join_keyed
 
 # A multiset of SHA-256 tokens is hashed by adding the tokens' parts: sums do not depend on order
@@ -73,7 +74,8 @@ def diff_schemas(stored: DataFrame, fresh: DataFrame, keys: Sequence[str] = ENDP
         .when(field & F.col("f").isNull(), "-")
         .when(field & F.col("s").isNull(), "+")
     )
-    marked = both.withColumn("through", through).withColumn("op", op)
+    # Read twice below, for the changes and for what leads to them.
+    marked = materialize(both.withColumn("through", through).withColumn("op", op))
     label = lambda side: F.concat(F.col(f"{side}.label"), F.when(F.col(f"{side}.optional"), "?").otherwise(""))
     own = F.coalesce(F.col("s"), F.col("f"))
     step = lambda at, side, row, path: F.struct(

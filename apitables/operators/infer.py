@@ -35,18 +35,20 @@ def _quoted(names: Sequence[str], prefix: str = "") -> str:
     return "".join(f"{prefix}`{n}`, " for n in names)
 
 
-def _leaves(df: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
+def _leaves(df: DataFrame, keys: Sequence[str], depth: int, base: int = 0) -> DataFrame:
     """Expand the variant `record` to its leaves, `depth` levels down, without leaving the stage.
 
-    Columns: k0.. (the keys), rec_key, issue, s1.. (one step per level), v, lead, place. `lead` is
-    the depth from which a leaf is the first one below its ancestors: counting a leaf for its
-    ancestors at or below `lead` counts every container exactly once. Rows are never filtered
-    here, as a pushed-down filter would repeat the JSON parse.
+    Columns: k0.. (the keys), rec_key, issue, s1.. (one step per level), v, lead, nest, place.
+    `lead` is the depth from which a leaf is the first one below its ancestors: counting a leaf
+    for its ancestors at or below `lead` counts every container exactly once. Rows are never
+    filtered here, as a pushed-down filter would repeat the JSON parse.
+
+    With `base` > 0 the records are containers found `base` levels down; `prefix` is their path.
     """
-    named = "".join(f"`{k}` AS k{i}, " for i, k in enumerate(keys))
-    carried = "".join(f"k{i}, " for i in range(len(keys))) + "rec_key, issue, "
-    query = (f"SELECT {named} CAST(rec_key AS {REC_KEY}) AS rec_key, issue, record AS v, "
-             f"0 AS lead, 0 AS nest, 0L AS place FROM {{df}}")
+    carried = "".join(f"k{i}, " for i in range(len(keys))) + "rec_key, issue, " + ("prefix, " if base else "")
+    named = "".join(f"`{k}` AS k{i}, " for i, k in enumerate(keys)) + f"CAST(rec_key AS {REC_KEY}) AS rec_key, issue, "
+    named += "prefix, record AS v, lead, nest, place" if base else "record AS v, 0 AS lead, 0 AS nest, 0L AS place"
+    query = f"SELECT {named} FROM {{df}}"
     positions = " ".join(f"WHEN {i} THEN least(CAST(pos AS BIGINT), {top}L) * {unit}L"
                          for i, (unit, top) in enumerate(_POSITIONS))
     steps = ""
@@ -54,7 +56,7 @@ def _leaves(df: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
         element = "(pos IS NOT NULL AND key IS NULL)"
         query = f"""
             SELECT {carried} {steps} IF({element}, '[]', '.' || key) AS s{level},
-                   IF(pos IS NULL, v, value) AS v, IF(pos > 0, {level}, lead) AS lead,
+                   IF(pos IS NULL, v, value) AS v, IF(pos > 0, {base + level}, lead) AS lead,
                    IF({element}, nest + 1, nest) AS nest,
                    IF({element}, place + CASE nest {positions} ELSE 0L END, place) AS place
             FROM ({query}), LATERAL variant_explode_outer(v)"""
@@ -66,33 +68,47 @@ def _steps(depth: int) -> list[str]:
     return [f"s{level}" for level in range(1, depth + 1)]
 
 
-def _profile(df: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
-    """(keys, leaf path, kind, lead) with counts and first order key; see `_leaves`.
+def _path(depth: int, base: int = 0) -> str:
+    steps = f"filter(array({', '.join(_steps(depth))}), s -> s IS NOT NULL)"
+    return f"prefix || {steps}" if base else steps
 
-    `hidden` marks containers at the last level, whose content was not looked into.
-    """
-    group = "".join(f"k{i}, " for i in range(len(keys))) + ", ".join(_steps(depth))
+
+def _hidden(depth: int) -> str:
+    """Containers at the last level, whose content was not looked into."""
+    return f"s{depth} IS NOT NULL AND kind IN ('record', 'array')"
+
+
+def _profile(df: DataFrame, keys: Sequence[str], depth: int, base: int = 0) -> DataFrame:
+    """(keys, leaf path, kind, lead) with counts and first order key; see `_leaves`."""
+    group = "".join(f"k{i}, " for i in range(len(keys))) + ("prefix, " if base else "") + ", ".join(_steps(depth))
     query = f"""
         SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))}
-               filter(array({", ".join(_steps(depth))}), s -> s IS NOT NULL) AS path,
-               kind, issue, hidden, lead, n, first_ord
+               {_path(depth, base)} AS path, kind, issue, hidden, lead, n, first_ord
         FROM (SELECT {group}, kind, issue, hidden, lead, count(*) AS n, min(ord) AS first_ord
               FROM (SELECT {group}, coalesce(issue, kind) AS kind, issue IS NOT NULL AS issue,
-                           s{depth} IS NOT NULL AND kind IN ('record', 'array') AS hidden, lead,
+                           {_hidden(depth)} AS hidden, lead,
                            CAST(rec_key * CAST({_RECORD_UNIT} AS DECIMAL(18,0))
                                 + CAST(place AS DECIMAL(17,0)) AS {ORDER}) AS ord
                     FROM {{leaves}})
               GROUP BY {group}, kind, issue, hidden, lead)"""
-    return df.sparkSession.sql(query, leaves=with_kind(_leaves(df, keys, depth), "v", "kind"))
+    return df.sparkSession.sql(query, leaves=with_kind(_leaves(df, keys, depth, base), "v", "kind"))
+
+
+def _frontier(df: DataFrame, keys: Sequence[str], depth: int, base: int) -> DataFrame:
+    """The containers `_profile` reports as hidden, as records to expand further."""
+    return df.sparkSession.sql(f"""
+        SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))} rec_key, issue,
+               {_path(depth, base)} AS prefix, v AS record, lead, nest, place
+        FROM {{leaves}} WHERE {_hidden(depth)}""", leaves=with_kind(_leaves(df, keys, depth, base), "v", "kind"))
 
 
 def profile(df: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int | None = None) -> DataFrame:
     """Path statistics of the `record` column per `keys`, ordered by `rec_key`.
 
     Rows with a non-NULL `issue` column stand for responses without records and are counted under
-    that issue. With `depth=None` the result is written once to learn whether deeper levels exist,
-    and taken again with more levels only if so. A given `depth` skips that job and fails, rather
-    than losing values, when a record is deeper.
+    that issue. With `depth=None` the result is written once to learn whether deeper levels exist;
+    only then are the containers found that deep expanded further, by themselves. A given `depth`
+    skips that job and fails, rather than losing values, when a record is deeper.
     """
     configure(df.sparkSession)
     if depth is not None:
@@ -100,12 +116,24 @@ def profile(df: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int | None = N
             "kind", F.when(F.col("hidden"), F.raise_error(F.lit("a record is nested deeper than depth")))
             .otherwise(F.col("kind")))
         return _count_containers(leaves, keys)
-    levels = FIRST_DEPTH
+    base, part, rounds = 0, df, []
     while True:
-        leaves = materialize(_profile(df, keys, levels))
-        if levels >= MAX_DEPTH or leaves.filter("hidden").isEmpty():
-            return _count_containers(leaves, keys)
-        levels = min(levels * 4, MAX_DEPTH)
+        leaves = materialize(_profile(part, keys, FIRST_DEPTH, base))
+        deep = leaves.filter("hidden")
+        if deep.isEmpty():
+            rounds.append(leaves)
+            break
+        rounds.append(leaves.filter("NOT hidden"))
+        if base + FIRST_DEPTH >= MAX_DEPTH:
+            # Not readable JSON, for the reader whose results are matched.
+            rounds.append(deep.withColumn("path", F.array().cast("array<string>")).withColumn("issue", F.lit(True))
+                          .withColumn("kind", F.lit(f"json 200 nested deeper than {MAX_DEPTH}")))
+            break
+        part, base = materialize(_frontier(part, keys, FIRST_DEPTH, base)), base + FIRST_DEPTH
+    whole = rounds[0]
+    for more in rounds[1:]:
+        whole = whole.unionByName(more)
+    return _count_containers(whole, keys)
 
 
 # The ancestors of a leaf it is counted for, and itself: `len` steps of its path. The kind of an
@@ -137,8 +165,8 @@ def flatten(records: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int = FIR
         SELECT {_quoted(keys)} rec_key, slice(path, 1, len) AS path, {_ANCESTOR_KIND} AS kind
         FROM (SELECT *, {_ANCESTORS.format(issue="false")}
               FROM (SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))} rec_key, lead,
-                           filter(array({", ".join(_steps(depth))}), s -> s IS NOT NULL) AS path,
-                           IF(s{depth} IS NOT NULL AND kind IN ('record', 'array'),
+                           {_path(depth)} AS path,
+                           IF({_hidden(depth)},
                               raise_error('a record is nested deeper than depth'), kind) AS kind
                     FROM {{leaves}}))""", leaves=leaves)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json import is_array, with_json
 from ..functions.text import error_snippet
+from .keyed import ENDPOINT
 
 # Fixed value, used wherever a response has no single record type to learn from.
 NOT_RECORDS = "response does not describe records (cannot infer a table schema)"
@@ -91,6 +92,20 @@ def unwrap(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         FROM {{parsed}}, LATERAL variant_explode_outer(record_set)""", parsed=parsed)
 
 
+def record_sets(responses: DataFrame) -> DataFrame:
+    """Per well-formed response: the name of its record set, the envelope and the record count.
+
+    A record set is named after its envelope field, otherwise after the endpoint.
+    """
+    pages = with_page(responses).select(
+        *ENDPOINT, "response_ord", F.when(is_success(F.col("status")), F.col("body")).alias("_body"))
+    found = detect_envelope(with_json(pages, "_body", "_v", "_valid"), "_v").filter("_valid")
+    elements = F.size(F.try_variant_get("record_set", "$", "array<variant>"))
+    return found.select(
+        *ENDPOINT, "response_ord", F.coalesce("envelope", "endpoint").alias("name"), "envelope",
+        F.when(F.col("record_set").isNull(), 1).otherwise(elements).cast("long").alias("record_count"))
+
+
 def explode_records(responses: DataFrame) -> DataFrame:
     """The records of every well-formed response: source, endpoint, envelope, rec_key, record."""
     rows = unwrap(responses)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from apitables.functions.json import is_strict_json
 from apitables.functions.text import is_iso_date, is_iso_datetime, is_tz_offset
 from apitables.operators.infer import column_profile, infer_column, infer_schema, path_stats, profile
-from apitables.operators.screen import detect_envelope, explode_records, unwrap
+from apitables.operators.screen import explode_records, record_sets, unwrap
 
 from .helpers import as_labels, responses, schema_of
 
@@ -116,6 +116,9 @@ def test_envelopes(spark):
     assert {(r.endpoint, r.envelope, r["count"]) for r in rows} == {
         ("data", "data", 2), ("items", "items", 1), ("two", None, 1), ("todos", None, 3),
         ("user", None, 1), ("tagged", "tags", 1), ("nothing", None, 1)}
+    sets = {(r.endpoint, r.name, r.record_count) for r in record_sets(df).collect()}
+    assert sets == {("data", "data", 2), ("items", "items", 1), ("two", "two", 1), ("todos", "todos", 3), ("user", "user", 1),
+                    ("tagged", "tags", 1), ("none", "none", 0), ("hollow", "rows", 0), ("nothing", "nothing", 1)}
     got = as_labels(infer_schema(df.filter("endpoint = 'two'")))
     assert got == {"": "two", "a": "int[]", "a[]": "int", "b": "int[]", "b[]": "int"}
     roots = infer_schema(df).filter("depth = 0").collect()
@@ -123,11 +126,21 @@ def test_envelopes(spark):
 
 
 def test_depth_adapts(spark):
-    body = "{\"d\":" * 20 + "[[1,\"x\"]]" + "}" * 20
-    got = as_labels(infer_schema(responses(spark, {"endpoint": "t", "body": body}, ("t2", {"a": 1}))))
-    assert got[".".join("d" * 20) + "[][]"] == "int | string"
+    deep = lambda n, inner: '{"d":' * n + inner + "}" * n
+    df = responses(spark, {"endpoint": "t", "body": deep(20, '[[1,"x"],[{}]]')}, ("t2", {"a": 1}),
+                   {"endpoint": "t", "response_ord": 1, "body": deep(6, '{"e":[true]}')},
+                   {"endpoint": "t", "response_ord": 2, "body": deep(8, "{}")},
+                   {"endpoint": "pit", "body": deep(140, "1")})
+    stats = profile(unwrap(df))
+    got = {(r.endpoint, "/".join(r.path), r.kind): r.n for r in stats.collect()}
+    d = lambda n: "/".join([".d"] * n)
+    assert got["t", "", "record"] == 3 and got["t", d(6), "record"] == 3 and got["t", d(8), "record"] == 2
+    assert got["t", d(6) + "/.e/[]", "bool"] == 1 and got["t", d(19), "record"] == 1
+    assert (got["t", d(20), "array"], got["t", d(20) + "/[]", "array"]) == (1, 2)
+    assert [got["t", d(20) + "/[]/[]", k] for k in ("int", "string", "record")] == [1, 1, 1]
+    assert got["pit", "", "json 200 nested deeper than 128"] == 1
     with pytest.raises(Exception, match="nested deeper"):
-        infer_schema(responses(spark, {"endpoint": "t", "body": body}), depth=4).collect()
+        infer_schema(df, depth=4).collect()
 
 
 def _random_value(rng, depth):

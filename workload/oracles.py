@@ -34,7 +34,8 @@ SELECT doc_id, CASE WHEN regexp_full_match(text, '\s*') THEN '(empty body)' WHEN
 FROM documents"""
 
 ORACLES["envelope_detect"] = """
-SELECT o_orderkey // 32 AS page, CASE o_orderkey // 32 % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'data' ELSE 'items' END AS envelope, count(*) AS record_count
+SELECT o_orderkey // 32 AS page, CASE o_orderkey // 32 % 3 WHEN 0 THEN 'orders' WHEN 1 THEN 'data' ELSE 'items' END AS name,
+       CASE o_orderkey // 32 % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'data' ELSE 'items' END AS envelope, count(*) AS record_count
 FROM orders GROUP BY ALL"""
 
 ORACLES["envelope_unwrap"] = """

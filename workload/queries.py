@@ -17,7 +17,7 @@ from apitables.operators.naming import (
     contract_lines, dedupe_records, hoist, normalise, registry_violations, render_contract, unqualify,
 )
 from apitables.operators.rules import first_violation
-from apitables.operators.screen import explode_records, screen_status, unwrap
+from apitables.operators.screen import explode_records, record_sets, screen_status
 from apitables.operators.sums import conforms, enum_report, parse_enum, tag_variant
 from apitables.operators.tableset import TableSet, load
 from apitables.plans import contract, introspect, listing
@@ -64,9 +64,8 @@ def error_snippets(spark, sf_dir):
 
 
 def envelope_detect(spark, sf_dir):
-    rows = unwrap(order_pages(spark, sf_dir))
-    return rows.groupBy(F.col("response_ord").alias("page"), F.coalesce("envelope", F.lit("none")).alias("envelope")).agg(
-        F.count("record").alias("record_count"))
+    rows = record_sets(order_pages(spark, sf_dir))
+    return rows.select(F.col("response_ord").alias("page"), "name", F.coalesce("envelope", F.lit("none")).alias("envelope"), "record_count")
 
 
 def envelope_unwrap(spark, sf_dir):
