@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
-from importlib import import_module
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .landed import RESPONSES
 
+# (url, headers, timeout) -> (status, content type, body)
+Transport = Callable[[str, dict[str, str], float], tuple[int, str | None, str]]
+
 
 @dataclass
 class Endpoint(InputPartition):
@@ -60,44 +65,49 @@ def auth_headers(endpoint: Endpoint) -> dict[str, str]:
 
 
 class RestReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: dict[str, str], transport: Transport):
         self.endpoints = json.loads(options["endpoints"])
         self.timeout = float(options.get("timeout", "30"))
-        self.transport = options.get("transport", f"{__name__}:urllib_transport")
+        self.transport = transport
 
     def partitions(self):
         return [Endpoint(**e) for e in self.endpoints]
 
     def read(self, partition: Endpoint):
-        module, name = self.transport.split(":")
-        send = getattr(import_module(module), name)
         started = time.monotonic()
-        status, content_type, body = send(
+        status, content_type, body = self.transport(
             target_url(partition.base_url, partition.path), auth_headers(partition), self.timeout)
         elapsed = int((time.monotonic() - started) * 1000)
         yield partition.source, partition.endpoint, 0, int(status), content_type, body, elapsed
 
 
-class RestEndpoints(DataSource):
-    """`spark.read.format("rest_endpoints")`; see `fetch` for the options."""
+def rest_source(transport: Transport) -> type[DataSource]:
+    """The `rest_endpoints` format, sending its requests through `transport`."""
+
+    class RestEndpoints(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "rest_endpoints"
 
-    @classmethod
-    def name(cls) -> str:
-        return "rest_endpoints"
+        def schema(self):
+            return RESPONSES
 
-    def schema(self):
-        return RESPONSES
+        def reader(self, schema):
+            return RestReader(self.options, transport)
 
-    def reader(self, schema):
-        return RestReader(self.options)
+    return RestEndpoints
 
 
-def fetch(spark: SparkSession, catalog: DataFrame, **options: str) -> DataFrame:
+def fetch(spark: SparkSession, catalog: DataFrame, transport: Transport = urllib_transport,
+          timeout: float = 30) -> DataFrame:
     """The responses of the catalog's endpoints.
 
     The catalog is configuration: it has a row per endpoint, which is also a partition of the read.
     """
-    spark.dataSource.register(RestEndpoints)
+    # The reader travels whole, so that executors need not have this package installed.
+    for module in {__name__, transport.__module__}:
+        cloudpickle.register_pickle_by_value(sys.modules[module])
+    spark.dataSource.register(rest_source(transport))
     rows = catalog.select("source", "endpoint", "base_url", "path", "auth_type", "env_vars",
                           *(["header_name"] if "header_name" in catalog.columns else [])).toLocalIterator()
     endpoints = [
@@ -106,7 +116,5 @@ def fetch(spark: SparkSession, catalog: DataFrame, **options: str) -> DataFrame:
          "header_name": r.asDict().get("header_name") or "X-Api-Key"}
         for r in rows
     ]
-    reader = spark.read.format("rest_endpoints").option("endpoints", json.dumps(endpoints))
-    for key, value in options.items():
-        reader = reader.option(key, value)
-    return reader.load()
+    return (spark.read.format("rest_endpoints").option("endpoints", json.dumps(endpoints))
+            .option("timeout", str(timeout)).load())

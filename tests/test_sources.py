@@ -85,7 +85,7 @@ def test_rest_endpoints(spark):
         [("s", "open", "http://h/api", "/users", "none", None), ("s", "keyed", "http://h/api/", "users", "api_key", ["APITABLES_TEST_TOKEN"]),
          ("s", "bearer", "http://h", "", "bearer", ["APITABLES_TEST_TOKEN"]), ("s", "gone", "http://h", "missing", None, None)],
         "source string, endpoint string, base_url string, path string, auth_type string, env_vars array<string>")
-    df = fetch(spark, catalog, transport="tests.test_sources:fake_transport", timeout="7")
+    df = fetch(spark, catalog, fake_transport, timeout=7)
     assert df.rdd.getNumPartitions() == 4
     rows = {r.endpoint: r for r in df.collect()}
     body = {e: json.loads(rows[e].body) for e in ("open", "keyed", "bearer")}
@@ -95,4 +95,4 @@ def test_rest_endpoints(spark):
     assert (rows["gone"].status, rows["gone"].body) == (404, "nope")
     missing = catalog.filter("endpoint = 'keyed'").withColumn("env_vars", F.array(F.lit("APITABLES_UNSET")))
     with pytest.raises(Exception, match="APITABLES_UNSET` is not set"):
-        fetch(spark, missing, transport="tests.test_sources:fake_transport").collect()
+        fetch(spark, missing, fake_transport).collect()

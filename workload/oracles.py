@@ -300,6 +300,11 @@ SELECT 'supplier-' || s_suppkey AS name, CASE s_suppkey % 5 WHEN 1 THEN 'not val
        WHEN 3 THEN 'not a source definition: `base_url` is missing' WHEN 4 THEN 'not a source definition: `name` is missing' ELSE 'good' END AS verdict
 FROM supplier"""
 
+ORACLES["rest_endpoints"] = """
+SELECT s_name AS endpoint, CASE WHEN s_suppkey % 3 = 0 THEN 404 ELSE 200 END AS status, s_suppkey % 3 <> 0 AS ok,
+       'http://h' || s_nationkey || '/api/items/' || s_suppkey || ' 0 9' AS body
+FROM supplier"""
+
 # --- table sets, typed loads and sum types -------------------------------
 
 ORACLES["ts_join_collapse"] = """

@@ -24,6 +24,7 @@ from apitables.plans import contract, introspect, listing
 from apitables.session import shared_folder
 from apitables.sources.landed import judge_definitions
 from apitables.sources.registry import read_registry, registry_state, write_registry
+from apitables.sources.rest import fetch
 from apitables.sources.typed import load_report, load_table
 
 from .bodies import (
@@ -392,6 +393,20 @@ def link_scope(spark, sf_dir):
     return rows.select("page_id", F.col("place").cast("long").alias("place"), "form", in_scope(F.col("link"), F.col("base")).alias("inside"))
 
 
+def echo(url, headers, timeout):
+    """Stands in for the network: every third answer is an error."""
+    code = int(url.rsplit("/", 1)[1])
+    return (404 if code % 3 == 0 else 200), "text/plain", f"{url} {len(headers)} {timeout:.0f}"
+
+
+def rest_endpoints(spark, sf_dir):
+    cat = table(spark, sf_dir, "supplier").select(
+        F.lit("suppliers").alias("source"), F.col("s_name").alias("endpoint"),
+        F.concat(F.lit("http://h"), "s_nationkey", F.lit("/api/")).alias("base_url"), F.concat(F.lit("/items/"), "s_suppkey").alias("path"),
+        F.lit("none").alias("auth_type"), F.array().cast("array<string>").alias("env_vars"))
+    return screen_status(fetch(spark, cat, echo, timeout=9)).select("endpoint", "status", "ok", "body")
+
+
 def quarantine(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     name = F.concat(F.lit("supplier-"), F.col("s_suppkey"))
@@ -501,7 +516,7 @@ QUERIES = {
         registry_roundtrip, registry_states,
         introspect_outcomes, carry_forward, publish_gate, contract_steps, source_rollup, orphan_tables,
         source_connectivity, source_listing,
-        path_violations, first_violations, url_join, link_scope, quarantine,
+        path_violations, first_violations, url_join, link_scope, quarantine, rest_endpoints,
         ts_join_collapse, ts_relate_orphans, ts_extend, ts_split, ts_merge, enum_parse, enum_unmatched, variant_tag,
         union_conform, typed_load, typed_load_report,
     )
