@@ -26,7 +26,7 @@ def rows(columns: list[str], data) -> list[tuple]:
 
 
 def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, name: str) -> str | None:
-    """NULL when both sides agree, else how they differ."""
+    """None when both sides agree, else how they differ."""
     df = queries()[name](spark, sf_dir)
     got = rows(df.columns, df.collect())
     rel = con.sql(oracle_sql()[name])

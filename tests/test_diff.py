@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from apitables.operators.diff import diff_schemas, ordered_changes, with_fingerprint
 from apitables.operators.infer import infer_schema
 
