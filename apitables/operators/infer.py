@@ -102,6 +102,11 @@ def _frontier(df: DataFrame, keys: Sequence[str], depth: int, base: int) -> Data
         FROM {{leaves}} WHERE {_hidden(depth)}""", leaves=with_kind(_leaves(df, keys, depth, base), "v", "kind"))
 
 
+# Names a schema or profile relation uses itself.
+_RESERVED = {"path", "kind", "issue", "hidden", "lead", "n", "first_ord", "len", "depth", "name", "members", "optional",
+             "step_rank", "label", "prefix", "rec_key", "record", "place", "nest", "at", "fingerprint"}
+
+
 def profile(df: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int | None = None) -> DataFrame:
     """Path statistics of the `record` column per `keys`, ordered by `rec_key`.
 
@@ -110,6 +115,9 @@ def profile(df: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int | None = N
     only then are the containers found that deep expanded further, by themselves. A given `depth`
     skips that job and fails, rather than losing values, when a record is deeper.
     """
+    taken = _RESERVED.intersection(keys)
+    if taken:
+        raise ValueError(f"rename the key column `{min(taken)}`; the schema relation has a column of that name")
     configure(df.sparkSession)
     if depth is not None:
         leaves = _profile(df, keys, depth).withColumn(

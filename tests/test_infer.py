@@ -229,6 +229,8 @@ def test_null_keys_form_a_group(spark):
     got = {(r.k, tuple(r.path)): (r.label, r.optional) for r in infer_column(df, "j", ["k"]).collect()}
     assert got[(None, (".a",))] == ("int", True) and got[("x", (".a",))] == ("string", False)
     assert got[(None, ())] == ("record", False)
+    with pytest.raises(ValueError, match="rename the key column `kind`"):
+        infer_column(df.withColumnRenamed("k", "kind"), "j", ["kind"])
 
 
 def test_issue_rows_are_counted(spark):

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from apitables.functions.json import is_strict_json, value_kind
+from apitables.functions.json import value_kind, with_json
 from apitables.functions.text import error_snippet, is_iso_date, is_iso_datetime, is_tz_offset, path_text
 from apitables.functions.urls import identifier_violation, in_scope, join_url, path_violation
 from apitables.operators.diff import diff_schemas, with_fingerprint
@@ -45,7 +45,7 @@ def json_validity(spark, sf_dir):
     pairs = [x for name, text in forms.items() for x in (F.lit(name), text)]
     rows = documents(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.explode(F.create_map(*pairs)).alias("form", "text"))
     pages = documents(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("html").alias("form"), F.col("html").alias("text"))
-    return rows.unionByName(pages).select("id", "form", is_strict_json(F.col("text")).alias("valid"))
+    return with_json(rows.unionByName(pages), "text", "v", "valid").select("id", "form", "valid")
 
 
 def _event_responses(spark, sf_dir):
