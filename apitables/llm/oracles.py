@@ -1,3 +1,34 @@
 """SQL answers of the training-data queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op6_benchmark_decontamination"] = r"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+sized AS (SELECT item, w, least(13, len(w)) AS l FROM item WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, l, array_to_string(w[i:i + l - 1], ' ') AS s FROM sized, unnest(range(1, len(w) - l + 2)) AS t(i)),
+lengths AS (SELECT DISTINCT l FROM windows),
+spots AS (SELECT r, i, l, array_to_string(w[i:i + l - 1], ' ') AS s FROM doc, lengths, unnest(range(1, len(w) - l + 2)) AS t(i)),
+hits AS (SELECT r, i, l, item FROM spots JOIN windows USING (l, s)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, i, l FROM hits) AS h, unnest(range(i, i + l)) AS t(p) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) AS h GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLES["op7_line_dedup"] = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+windows AS (
+  SELECT r, doc_id, i, lines[i:i + 2] AS w FROM doc, unnest(range(1, len(lines) - 1)) AS t(i)
+  WHERE regexp_matches(array_to_string(lines[i:i + 2], ''), '[^ \t\r\f\v]')),
+ranked AS (SELECT r, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM windows),
+covered AS (SELECT r, list(DISTINCT p) AS gone FROM ranked, unnest(range(i, i + 3)) AS t(p) WHERE n > 1 GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[p] FOR p IN range(1, len(lines) + 1) IF NOT list_contains(gone, p)], chr(10)) END) AS text_sha256
+FROM doc LEFT JOIN covered USING (r)
+"""

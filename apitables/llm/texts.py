@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BLOCK = 1 << 20
 SLICE_BYTES = 4 << 20
@@ -113,13 +114,18 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(low, starts, ends)[0], first
 
 
+def chained(parts: list[np.ndarray]) -> np.ndarray:
+    """One hash from the hashes that stand at the same place of each part, in order."""
+    out = np.full(len(parts[0]), np.uint64(len(parts)))
+    for part in parts:
+        out = out * STEP + part
+    return mix(out)
+
+
 def runs(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k words from each position on; texts are not told apart."""
     n = max(0, len(h) - k + 1)
-    out = np.full(n, np.uint64(k))
-    for j in range(k):
-        out = out * STEP + h[j : j + n]
-    return mix(out)
+    return chained([h[j : j + n] for j in range(k)])
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,3 +143,11 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         if len(those):
             out[at[those]] = runs(h, short)[first[those]]
     return out, at
+
+
+def free(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
