@@ -32,3 +32,14 @@ SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce
   sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[p] FOR p IN range(1, len(lines) + 1) IF NOT list_contains(gone, p)], chr(10)) END) AS text_sha256
 FROM doc LEFT JOIN covered USING (r)
 """
+
+# Documents have distinct ids here, so no shard has pages.
+ORACLES["op8_sharding"] = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0) AS n, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+placed AS (SELECT r, doc_id, n, CAST(d AS INTEGER) AS d, h >> CAST(60 - d AS BIGINT) AS prefix FROM doc, range(0, 61) AS t(d)),
+totals AS (SELECT *, sum(n) OVER (PARTITION BY d, prefix) AS total, count(*) OVER (PARTITION BY d, prefix) AS n_rows FROM placed),
+shortest AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d) AS k FROM totals WHERE total <= 1048576 OR n_rows = 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, d AS shard_depth, CAST(prefix AS BIGINT) AS shard_prefix, CAST(0 AS BIGINT) AS shard_page FROM shortest WHERE k = 1
+"""

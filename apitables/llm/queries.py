@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apitables.llm import decontam, linededup, minhash
+from apitables.llm import decontam, linededup, minhash, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,3 +45,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without the lines of three-line windows that occurred before."""
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, for shards of 1 MiB of text."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=1 << 20).select("doc_id", "n_bytes", "shard_depth", "shard_prefix", "shard_page")
