@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apitables.llm import decontam, linededup, minhash, sharding
+from apitables.llm import decontam, langid, linededup, minhash, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,6 +28,19 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.selectExpr("id AS doc_id", "class_id", "id = class_id AS kept")
 
 
+def fold(key: str, folds: int) -> Column:
+    """crc32 of the key as text, modulo `folds`; a null key counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document, learnt from two of three folds."""
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents, fold("doc_id", 3) != 1)
+    return langid.predict(documents, model).select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside an occurrence of a 13-word window of a benchmark item."""
@@ -51,3 +64,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, for shards of 1 MiB of text."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=1 << 20).select("doc_id", "n_bytes", "shard_depth", "shard_prefix", "shard_page")
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole document under the fixed vocabulary."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
