@@ -17,10 +17,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apitables.llm.pieces import VOCABULARY, Trie, cached, pre_tokens
+from apitables.llm.sampling import bounded
 from apitables.llm.texts import slices
 from apitables.llm.token_counts import sums
 from apitables.session import materialize
@@ -43,23 +44,15 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def _sample(df: DataFrame, key: str, text: str, lang: str, train: Column, docs: int, size: int) -> DataFrame:
-    rows = df.where(train & F.col(lang).isNotNull() & has_letter(text))
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("order"), F.octet_length(text).alias("size"))
-    by = Window.partitionBy("lang").orderBy("order", "size")
-    ids = rows.select("lang", "order", "size").withColumn("place", F.row_number().over(by)).where(F.col("place") <= docs)
-    ids = ids.withColumn("before", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < size)
-    picked = ids.select("lang", "order", "size").distinct()
-    return rows.join(picked, ["lang", "order", "size"], "left_semi").select("lang", "text")
-
-
 def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", model: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Models of the languages named in `lang` on rows where `train` holds; rows without lang or letters teach nothing."""
     context = df.sparkSession.sparkContext
     file = Path(model).read_bytes()
     vocab = cached(file)
-    sample = materialize(_sample(df, key, text, lang, train, sample_docs, sample_bytes))
-    languages = sorted(r[0] for r in sample.select("lang").distinct().toLocalIterator())
+    rows = df.where(train & F.col(lang).isNotNull() & has_letter(text))
+    rows = rows.select(F.col(lang).cast("string").alias("kind"), F.col(text).alias("text"), F.xxhash64(key).alias("order"))
+    sample = materialize(bounded(rows, sample_docs, sample_bytes))
+    languages = sorted(r[0] for r in sample.select("kind").distinct().toLocalIterator())
     log_p = np.tile(vocab.log_zipf(), (len(languages), 1))
     for _ in range(ROUNDS if languages else 0):
         sent = context.broadcast(Model(languages, log_p, file))
@@ -71,7 +64,7 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
             for part in slices(batches, "text"):
                 tokens = pre_tokens(part.column("text"))
                 trie = Trie(tokens.distinct, vocab)
-                names = np.array(part.column("lang").to_pylist(), object)
+                names = np.array(part.column("kind").to_pylist(), object)
                 of = np.repeat(np.arange(part.num_rows), np.diff(tokens.first))
                 for i, name in enumerate(now.languages):
                     weight = np.bincount(tokens.which[(names == name)[of]], minlength=len(tokens.distinct)).astype(float)
