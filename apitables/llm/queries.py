@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apitables.llm import decontam, langid, linededup, minhash, sharding, token_counts, toxicity
+from apitables.llm import decontam, langid, linededup, minhash, sample_encode, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,6 +33,21 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+@query
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every whole document, and whether decoding each gives the document back."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    decoded = sample_encode.decode(sample_encode.encode(documents, keep=("text_hash",)))
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("bigint").alias("n_samples"),
+        F.transform("ids", lambda x: F.size(x).cast("bigint")).alias("n_pieces"),
+        F.transform("ids", lambda x: F.xxhash64(x)).alias("ids_hash"),
+        "log_prob", "log_inclusion",
+        F.forall("texts", lambda x: F.xxhash64(x) == F.col("text_hash")).alias("round_trip"),
+    )
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document, learnt from two of three folds."""
