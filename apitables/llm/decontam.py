@@ -165,9 +165,11 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, n_hit, spans, items) for each row of `docs`: words inside an occurrence of an item's window.
 
+    Columns named in `keep` come along, in front; they must not have the names above.
+
     Spans are merged word ranges [start, stop); items are the distinct ids, as strings, of items with a window that
     occurs. Null and empty texts have no words and are not hit; items without id or words have no window; repeated items
     count once. Other columns are not read. An empty benchmark hits nothing.
@@ -176,7 +178,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     kind = docs.schema[key].dataType.simpleString()
-    state = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    kept = "".join(f"`kept_{name}` {docs.schema[name].dataType.simpleString()}, " for name in keep)
+    state = docs.select(*[F.col(name).alias(f"kept_{name}") for name in keep], F.col(key).alias("id"), F.col(text).alias("text"))
     shape = "spans array<struct<start:int,stop:int>>, items array<string>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     for block in range(blocks):
@@ -197,7 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                     spans[t].append((s - int(first[t]), s - int(first[t]) + int(index.length[w])))
                     items[t].update(index.items[w])
                 spans = [_merged(x) for x in spans]
-                out = {"id": part.column("id")}
+                out = {f"kept_{name}": part.column(f"kept_{name}") for name in keep} | {"id": part.column("id")}
                 if last:
                     out |= {"n_words": pa.array(np.diff(first), pa.int64()), "n_hit": pa.array([sum(b - a for a, b in x) for x in spans], pa.int64())}
                 else:
@@ -206,5 +209,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 out["items"] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
                 yield pa.record_batch(out)
 
-        state = state.mapInArrow(match, f"id {kind}, " + ("n_words bigint, n_hit bigint, " if last else "text string, ") + shape)
-    return state
+        state = state.mapInArrow(match, f"{kept}id {kind}, " + ("n_words bigint, n_hit bigint, " if last else "text string, ") + shape)
+    return state.withColumnsRenamed({f"kept_{name}": name for name in keep})

@@ -88,9 +88,11 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     return Model(languages, log_p, file)
 
 
-def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, lang_pred, score) for each row of `df`: the likeliest language of the whole text and its posterior probability.
 
+    Columns named in `keep` come along, in front; they must not have the names above.
+
     Languages are equally likely before; of equals the first by name is taken. A text that is null or has no letter is
     `und` with score 0, and so is every text if no language was learnt. Only the text is looked at.
     """
@@ -112,7 +114,10 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 posterior = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
                 names = np.where(letters, np.array(languages, object)[best], UNKNOWN)
                 scores = np.where(letters, posterior, 0.0)
-            yield pa.record_batch({"id": part.column("id"), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(scores)})
+            kept = {name: part.column(f"kept_{name}") for name in keep}
+            yield pa.record_batch(kept | {"id": part.column("id"), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(scores)})
 
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), has_letter(text).alias("letters"))
-    return rows.mapInArrow(score, f"id {kind}, lang_pred string, score double")
+    kept = "".join(f"`{name}` {df.schema[name].dataType.simpleString()}, " for name in keep)
+    along = [F.col(name).alias(f"kept_{name}") for name in keep]
+    rows = df.select(*along, F.col(key).alias("id"), F.col(text).alias("text"), has_letter(text).alias("letters"))
+    return rows.mapInArrow(score, f"{kept}id {kind}, lang_pred string, score double")

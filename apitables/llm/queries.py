@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apitables.llm import decontam, langid, linededup, minhash, sample_encode, sharding, token_counts, toxicity
+from apitables.llm import ann, chat, decontam, langid, linededup, minhash, sample_encode, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -56,6 +56,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model).select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that speaks in control strings, read back from their formatted text."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", F.to_json(F.struct("role", "text")).alias("record"))
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(1).select(F.lit(-7).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("turn"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
+    formatted = chat.format_turns(chat.canonical_turns(turns.unionByName(own)))
+    return chat.digests(formatted).withColumnRenamed("id", "conv_id")
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document, learnt from the labels of four of five folds."""
@@ -89,6 +99,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=1 << 20).select("doc_id", "n_bytes", "shard_depth", "shard_prefix", "shard_page")
 
 
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole document under the fixed vocabulary."""

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 
 def bounded(rows: DataFrame, docs: int, size: int) -> DataFrame:
-    """(kind, text): of each kind the `docs` rows that come first by `order`, up to `size` UTF-8 bytes.
+    """(kind, text): of each kind at most `docs` rows, those that come first by `order`, up to `size` UTF-8 bytes.
 
-    `rows` has kind, text and order (a hash of the id, so the choice does not depend on the content). The first rows of a
-    kind are found with a limit in each partition before the shuffle, so a hot kind is no hot task.
+    `rows` has kind, text and order (a 64-bit hash of the id, so the choice does not depend on the content). Rows are
+    counted first, and only those whose hash lies in twice the share that is needed are ranked, so the ranking of a hot
+    kind stays small.
     """
     rows = rows.select("kind", "text", "order", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    counts = rows.groupBy("kind").agg(F.count("*").alias("n"))
+    share = F.col("order") / F.lit(2.0**64) + 0.5
+    near = rows.select("kind", "order", "size").join(counts, "kind").where(share <= 2.0 * docs / F.col("n"))
     by = Window.partitionBy("kind").orderBy("order", "size")
-    ids = rows.select("kind", "order", "size").withColumn("place", F.row_number().over(by)).where(F.col("place") <= docs)
+    ids = near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= docs)
     ids = ids.withColumn("before", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < size)
     return rows.join(ids.select("kind", "order", "size").distinct(), ["kind", "order", "size"], "left_semi").select("kind", "text")

@@ -1,25 +1,88 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators: language, repeated lines, near copies, benchmarks, pieces.
+
+Each stage works on all documents that its predecessor kept; `run` writes each stage's result as Parquet and reads it
+back. All but the last return the columns of `documents`, and further columns that came with them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from apitables.llm import minhash
+from apitables.llm import decontam, langid, linededup, minhash, sample_encode
+from apitables.session import materialize
 
-ORACLE_SQL = None
+#: Posterior probability below which a language is not accepted.
+LEAST_POSTERIOR = 0.5
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """`docs` with columns c0, c1, ... so that no name clashes, and the new names of doc_id and text."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names)}
+    return docs.toDF(*names), at["doc_id"], at["text"]
+
+
+def _named(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language learnt from the labelled ones stay; null texts and texts without letters go.
+
+    If no document has a language, nothing is learnt, and all texts with a letter stay.
+    """
+    model = langid.fit(docs, F.lit(True))
+    plain, key, text = _numbered(docs)
+    if not model.languages:
+        return docs.where(langid.has_letter("text"))
+    judged = langid.predict(plain, model, key, text, keep=tuple(plain.columns))
+    return _named(judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)), docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows are cut out; a document that loses all its text goes. n_chars follows."""
+    plain, key, text = _numbered(docs)
+    cut = linededup.dedup_lines(plain, key, text)
+    kept = _named(cut.where((F.col("n_removed") == 0) | (F.trim(F.translate(text, "\n\t\r", "   ")) != "")), docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one with the least id."""
-    kept = minhash.near_duplicates(docs).where("class_id IS NULL OR id = class_id").select("id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    """One document of each near-duplicate class stays, the one with the least id, and all without an id."""
+    kept = minhash.near_duplicates(docs).where("id = class_id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go if a twentieth of their words or more lie in windows of benchmark items."""
+    plain, key, text = _numbered(docs)
+    judged = decontam.contamination(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key, text, keep=tuple(plain.columns))
+    return _named(judged.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < F.col("n_words"))), docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of each document, with their log probabilities and inclusion scores, and whether they decode to it."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    decoded = sample_encode.decode(sample_encode.encode(rows, keep=("text_hash",)))
+    same = F.forall("texts", lambda x: F.xxhash64(x) == F.col("text_hash"))
+    return decoded.select(F.col("id").alias("doc_id"), "ids", "log_prob", "log_inclusion", same.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("sentencepiece_sampling", pieces),
+]
+
+#: Language models, sampling by hash and chance are beyond SQL.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
