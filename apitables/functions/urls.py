@@ -38,17 +38,19 @@ def join_url(base: Column, path: Column) -> Column:
     return F.when(relative == "", base).otherwise(F.concat(slash, relative))
 
 
-def _part(url: Column, part: str) -> Column:
-    return F.coalesce(F.try_parse_url(url, F.lit(part)), F.lit(""))
+# Scheme, authority and path of a URL. Split by pattern, as a URL parser refuses spaces, brackets and bars in a path.
+_URL = r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
+_HOST = r"\A(?:[^@]*@)?(\[[^\]]*\]|[^:\[\]]+)(?::([0-9]*))?\z"
 
 
 def _origin(url: Column) -> Column:
-    scheme = F.lower(_part(url, "PROTOCOL"))
-    port = F.regexp_extract(_part(url, "AUTHORITY"), r":([0-9]+)\z", 1)
+    scheme = F.lower(F.regexp_extract(url, _URL, 1))
+    authority = F.regexp_extract(url, _URL, 2)
+    host, port = F.lower(F.regexp_extract(authority, _HOST, 1)), F.regexp_extract(authority, _HOST, 2)
     implied = F.lit("")
     for name, number in DEFAULT_PORTS.items():
         implied = F.when(scheme == name, number).otherwise(implied)
-    return F.concat_ws("|", scheme, F.lower(_part(url, "HOST")), F.when(port == "", implied).otherwise(port))
+    return F.when(host != "", F.concat_ws("|", scheme, host, F.when(port == "", implied).otherwise(port)))
 
 
 def in_scope(url: Column, base: Column) -> Column:
@@ -56,11 +58,11 @@ def in_scope(url: Column, base: Column) -> Column:
 
     URLs are compared as written, so a `..` segment, also a percent-encoded one, is out of scope.
     """
-    below = _part(base, "PATH")
+    below = F.regexp_extract(base, _URL, 3)
     below = F.when(below.endswith("/"), below).otherwise(F.concat(below, F.lit("/")))
-    path = _part(url, "PATH")
+    path = F.regexp_extract(url, _URL, 3)
     escapes = path.rlike(r"(?i)(\A|/)(\.|%2e){2}(/|\z)")
     same = url == base
     return F.coalesce(
-        same | ((_origin(url) == _origin(base)) & (_part(url, "HOST") != "") & path.startswith(below) & ~escapes),
+        same | ((_origin(url) == _origin(base)) & path.startswith(below) & ~escapes),
         F.lit(False))

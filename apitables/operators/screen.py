@@ -1,7 +1,8 @@
 """Response screening: status, JSON validity, envelopes and record sets.
 
 A responses relation has source, endpoint, status, content_type and body. An endpoint may answer
-in many pages; `response_ord` (0 to 10^12-1, default 0) orders them.
+in many pages; `response_ord` (a long, default 0) orders them. Pages beyond 10^12 and below 0 are read like
+all others, but count as equally late (or early) where a first appearance is looked for.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ def is_success(status: Column) -> Column:
     return status.isNotNull() & status.between(200, 299)
 
 
+# Fixed text, up to the words for a status that nobody recorded.
 def status_message(url: Column, status: Column, body: Column) -> Column:
+    """Never NULL, so that a failed response is always told."""
     return F.concat(
-        F.lit("request to `"), url, F.lit("` failed with status "), status.cast("string"),
-        F.lit(": "), error_snippet(F.coalesce(body, F.lit(""))),
+        F.lit("request to `"), F.coalesce(url, F.lit("unknown")), F.lit("` failed with status "),
+        F.coalesce(status.cast("string"), F.lit("unknown")), F.lit(": "), error_snippet(F.coalesce(body, F.lit(""))),
     )
 
 
@@ -83,7 +86,7 @@ def unwrap(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     parsed = detect_envelope(with_json(bodies, "body", "v", "valid"), "v")
     return spark.sql(f"""
         SELECT source, endpoint, response_ord, {kept} envelope,
-               CAST(CAST(response_ord AS DECIMAL(12,0)) * CAST({_PAGE} AS DECIMAL(10,0))
+               CAST(CAST(greatest(0L, least(coalesce(response_ord, 0L), 999999999999L)) AS DECIMAL(12,0)) * CAST({_PAGE} AS DECIMAL(10,0))
                     + CAST(coalesce(pos, 0) AS DECIMAL(9,0)) AS {REC_KEY}) AS rec_key,
                CAST(coalesce(pos, 0) AS BIGINT) AS rec_ord,
                IF(record_set IS NULL, v, value) AS record,

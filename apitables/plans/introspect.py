@@ -30,8 +30,8 @@ def sample(responses: DataFrame, depth: int | None = None) -> Sampled:
     invalid = profiled.filter(F.col("issue") & F.col("kind").startswith("json")).groupBy(*ENDPOINT).agg(
         F.min(F.struct("first_ord", "kind")).alias("_json"))
     url = F.col("url") if "url" in responses.columns else F.col("endpoint")
-    failed = with_page(responses).filter(~is_success(F.col("status"))).groupBy(*ENDPOINT).agg(
-        F.min(F.struct(F.col("response_ord").alias("page"), status_message(url, F.col("status"), F.col("body")).alias("text"))).alias("_status"))
+    failed = with_page(responses).filter(~F.coalesce(is_success(F.col("status")), F.lit(False))).groupBy(*ENDPOINT).agg(
+        F.min(F.struct(F.greatest(F.lit(0), F.least(F.coalesce("response_ord", F.lit(0)), F.lit(10**12 - 1))).alias("page"), status_message(url, F.col("status"), F.col("body")).alias("text"))).alias("_status"))
     out = record_counts(profiled)
     for part in (root, invalid, failed):
         out = join_keyed(out, part, ENDPOINT, "left")
@@ -89,12 +89,23 @@ def publishable(outcomes: DataFrame) -> DataFrame:
 
 
 def contracts_to_publish(catalog: DataFrame, sampled: Sampled, recorded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, registry nodes of the sources that pass the gate)."""
-    outcomes = materialize(introspect(catalog, sampled, recorded))
+    """(outcomes, registry nodes of the sources that pass the gate).
+
+    A contract that cannot be written fails its source: its endpoints that would have been written are `failed`, with
+    the first problem of their own table, or else of the source, as detail.
+    """
+    outcomes = introspect(catalog, sampled, recorded)
     gate = publishable(outcomes).filter("publish").select("source")
     tables = materialize(carry_forward(sampled.nodes, recorded, outcomes).join(gate, "source", "left_semi"))
-    sound = tables.join(registry_violations(tables).select("source").distinct(), "source", "left_anti")
-    return outcomes, normalise(sound)
+    problems = materialize(registry_violations(tables).groupBy("source", "endpoint").agg(F.min("problem").alias("own")))
+    whole = problems.groupBy("source").agg(F.min("own").alias("any"))
+    told = join_keyed(join_keyed(outcomes, problems, ENDPOINT, "left"), whole, ["source"], "left")
+    bad = F.col("any").isNotNull()
+    judged = told.select(
+        *ENDPOINT, "ordinal", F.when(bad, "failed").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(~bad, F.col("record_count")).alias("record_count"), F.when(~bad, F.col("kept_schema")).alias("kept_schema"),
+        F.when(bad, F.concat(F.lit("cannot write the types file: "), F.coalesce("own", "any"))).otherwise(F.col("detail")).alias("detail"))
+    return judged, normalise(tables.join(whole.select("source"), "source", "left_anti"))
 
 
 def publish(catalog: DataFrame, sampled: Sampled, recorded: DataFrame, path: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.json import with_json
+from ..functions.urls import identifier_violation, path_violation
 from ..session import configure
 
 RESPONSES = T.StructType([
@@ -49,6 +50,20 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
         F.lit(None).cast("long").alias("elapsed_ms"))
 
 
+def _endpoint_problem(endpoints: Column) -> Column:
+    """The first bad endpoint of a definition: its name, its path, or a name used before; NULL if there is none."""
+    names = F.transform(endpoints, lambda e: F.coalesce(e["name"], F.lit("")))
+
+    def problem(e: Column, i: Column) -> Column:
+        name, path = F.coalesce(e["name"], F.lit("")), F.coalesce(e["path"], F.lit(""))
+        return F.coalesce(
+            F.concat(F.lit("endpoint name "), identifier_violation(name)),
+            F.concat(F.lit("path `"), path, F.lit("` "), path_violation(path)),
+            F.when(F.array_position(names, name) <= i, F.concat(F.lit("duplicate endpoint name `"), name, F.lit("`"))))
+
+    return F.try_element_at(F.filter(F.transform(endpoints, problem), lambda p: p.isNotNull()), F.lit(1))
+
+
 def judge_definitions(files: DataFrame) -> DataFrame:
     """Add `doc`, the parsed definition, and `reason`, why it is unusable, to (file, text) rows."""
     parsed = with_json(files, "text", "_v", "_valid").withColumn(
@@ -60,6 +75,7 @@ def judge_definitions(files: DataFrame) -> DataFrame:
               F.concat(F.lit("declared name `"), F.col("doc.name"), F.lit("` does not match the file name `"),
                        F.col("file"), F.lit("`")))
         .when(F.col("doc.base_url").isNull(), "not a source definition: `base_url` is missing")
+        .otherwise(_endpoint_problem(F.col("doc.endpoints")))
     )
     return parsed.withColumn("reason", reason).drop("_v", "_valid")
 

@@ -6,44 +6,42 @@ from apitables.operators.naming import contract_lines, normalise, registry_viola
 
 from .helpers import responses
 
-# A second array field keeps single-array objects from being read as envelopes.
+# Per source: its tables, and the names of its record declarations (tables go by name). A second array field keeps
+# objects with one array from being read as envelopes.
 CASES = {
-    "layout": ({"users": [{"id": 1, "email": "a", "created_at": "2024-01-15T10:30:00Z",
-                           "address": {"city": "x", "zip": "y"}},
-                          {"id": 1, "email": "a", "created_at": "2024-01-15T10:30:00Z"}]}, None),
-    "shared": ({"t": {"from": {"point": {"x": 1}}, "to": {"point": {"x": 2}}}},
-               {"from", "point", "to"}),
-    "homework": ({"t": {"home": {"address": {"city": "x"}}, "work": {"address": {"zip": 1}}}},
-                 {"home", "home.address", "work", "work.address"}),
-    "tables": ({"orders": {"address": {"zip": 1, "geo": {"lat": 1}}}, "users": {"address": {"city": "x", "geo": {"lat": 1}}}},
-               {"orders.address", "users.address", "geo"}),
-    "own_table": ({"users": {"users": {"a": 1}}}, {"users.users"}),
-    "other_table": ({"orders": {"users": {"a": 1}}, "users": {"id": 1}}, {"orders.users"}),
-    "suffix": ({"t": [{"v": {"p": 1}}, {"v": [{"q": 1}]}]}, {"t.v", "t.v2"}),
-    "cascade": ({"users": {"home": {"address": {"city": "x"}}}, "staff": {"home": {"address": {"zip": 1}}}},
-                {"users.home", "users.home.address", "staff.home", "staff.home.address"}),
-    "unique_parents": ({"a": {"profile": {"address": {"city": "x"}}}, "b": {"info": {"address": {"zip": 1}}}},
-                       {"profile", "profile.address", "info", "info.address"}),
-    "dotted": ({"users": {"users.home": {"zip": 1}}}, {"users.home"}),
-    # Tables go by name here, so `a_users` plays the first table.
-    "literal": ({"a_users": {"home": {"city": "x"}}, "staff": {"home": {"country": "x"}, "a_users.home": {"zip": 1}}},
-                {"a_users.home", "staff.home", "staff.a_users.home"}),
-    "literal_number": ({"t": [{"t.v2": {"r": 1}, "v": {"p": 1}}, {"t.v2": {"r": 1}, "v": [{"q": 1}]}]},
-                       {"t.v2", "t.v", "t.v3"}),
-    "number_first": ({"t": [{"v": {"p": 1}, "w": {"t.v2": {"r": 1}}}, {"v": [{"q": 1}], "w": {"t.v2": {"r": 1}}}]},
-                     {"t.v", "t.v2", "w", "w.t.v2"}),
+    "plain": ({"boats": [{"no": 4, "built": "1999-07-04", "berth": {"row": 1, "side": "N"}}, {"no": 5, "built": "1999-07-04"}]}, {"berth"}),
+    # Alike below two fields: one declaration serves both.
+    "alike": ({"trips": {"start": {"mark": {"lat": 0.5}}, "finish": {"mark": {"lat": 1.5}}}}, {"start", "mark", "finish"}),
+    # Unlike below two fields: the name is contested, and so each is called after its parent.
+    "unlike": ({"trips": {"start": {"mark": {"lat": 0.5}}, "finish": {"mark": {"code": "k"}}}}, {"start", "start.mark", "finish", "finish.mark"}),
+    "two_tables": ({"boats": {"crew": {"cook": True, "bunk": {"no": 1}}}, "huts": {"crew": {"smith": 1, "bunk": {"no": 2}}}},
+                   {"boats.crew", "huts.crew", "bunk"}),
+    # A table's own name is taken.
+    "self": ({"boats": {"boats": {"no": 4}}}, {"boats.boats"}),
+    "neighbour": ({"boats": {"huts": {"no": 4}}, "huts": {"no": 4}}, {"boats.huts"}),
+    # Two shapes at one path: the qualified name is taken as well.
+    "numbered": ({"trips": [{"leg": {"miles": 1}}, {"leg": [{"knots": 2}]}]}, {"trips.leg", "trips.leg2"}),
+    "passed_on": ({"boats": {"deck": {"hatch": {"no": 1}}}, "huts": {"deck": {"hatch": {"wide": 0.5}}}},
+                  {"boats.deck", "boats.deck.hatch", "huts.deck", "huts.deck.hatch"}),
+    "sole_parents": ({"boats": {"rig": {"stay": {"no": 1}}}, "huts": {"roof": {"stay": {"wide": 0.5}}}}, {"rig", "rig.stay", "roof", "roof.stay"}),
+    "dot_in_field": ({"boats": {"boats.deck": {"no": 1}}}, {"boats.deck"}),
+    "dot_first": ({"a_boats": {"deck": {"no": 1}}, "huts": {"deck": {"wide": 0.5}, "a_boats.deck": {"tall": 2}}},
+                  {"a_boats.deck", "huts.deck", "huts.a_boats.deck"}),
+    "number_taken": ({"trips": [{"trips.way2": {"gale": 1}, "way": {"miles": 1}}, {"trips.way2": {"gale": 1}, "way": [{"knots": 2}]}]},
+                     {"trips.way2", "trips.way", "trips.way3"}),
+    "number_before": ({"trips": [{"leg": {"miles": 1}, "stop": {"trips.leg2": {"gale": 1}}}, {"leg": [{"knots": 2}], "stop": {"trips.leg2": {"gale": 1}}}]},
+                      {"trips.leg", "trips.leg2", "stop", "stop.trips.leg2"}),
 }
 
-LAYOUT = """table users {
-  address: address?
-  created_at: datetime
-  email: string
-  id: int
+PLAIN = """table boats {
+  berth: berth?
+  built: date
+  no: int
 }
 
-record address {
-  city: string
-  zip: string
+record berth {
+  row: int
+  side: string
 }
 """
 
@@ -56,27 +54,26 @@ def test_record_names(spark):
     for r in registry.filter("declares").collect():
         got.setdefault(r.source, []).append(r.record_name)
     for source, (_, want) in CASES.items():
-        if want is not None:
-            assert sorted(got[source]) == sorted(want), source
+        assert sorted(got[source]) == sorted(want), source
     texts = {r.source: r.text for r in render_contract(registry).collect()}
-    assert texts["layout"] == LAYOUT
-    assert "  a_users.home: staff.a_users.home\n" in texts["literal"]
-    assert "  v: t.v | t.v2[]\n" in texts["suffix"]
-    assert contract_lines(registry).filter("source = 'layout'").count() == 10
-    plain = unqualify(registry.filter("source = 'literal'"))
+    assert texts["plain"] == PLAIN
+    assert "  a_boats.deck: huts.a_boats.deck\n" in texts["dot_first"]
+    assert "  leg: trips.leg | trips.leg2[]\n" in texts["numbered"]
+    assert contract_lines(registry).filter("source = 'plain'").count() == PLAIN.count("\n") - 1  # the blank line is no row
+    plain = unqualify(registry.filter("source = 'dot_first'"))
     labels = {(r.endpoint, r.p): r.label for r in plain.select("endpoint", path_text(F.col("path")).alias("p"), "label").collect()}
-    assert labels["staff", "home"] == "home" and labels["staff", "a_users.home"] == "a_users.home"
+    assert labels["huts", "deck"] == "deck" and labels["huts", "a_boats.deck"] == "a_boats.deck"
 
 
 def test_violations(spark):
-    nodes = infer_schema(responses(spark, ("num", "3"), ("weird", {"weird key": 1}), ("prim", {"string": {"a": 1}}),
-                                   ("1bad", {"a": 1}), ("fine", {"a": {"b": 1}})))
+    nodes = infer_schema(responses(spark, ("tally", "17"), ("gap", {"two words": 1}), ("taken", {"bool": {"no": 1}}),
+                                   ("9th", {"no": 1}), ("sound", {"deck": {"no": 1}})))
     got = {(r.endpoint, r.problem) for r in registry_violations(
-        nodes.unionByName(nodes.filter("endpoint = 'fine' and depth = 0")),
+        nodes.unionByName(nodes.filter("endpoint = 'sound' and depth = 0")),
         spark.createDataFrame([("shop",), ("bare",)], "source string")).collect()}
     rule = "cannot be represented (names must match [A-Za-z_][A-Za-z0-9_.-]*)"
     assert got == {
-        ("num", "the top-level type must be a record"), ("weird", f"field name `weird key` {rule}"),
-        ("prim", "record name `string` collides with a primitive type name"),
-        ("1bad", f"table name `1bad` {rule}"), ("fine", "duplicate table name `fine`"),
+        ("tally", "the top-level type must be a record"), ("gap", f"field name `two words` {rule}"),
+        ("taken", "record name `bool` collides with a primitive type name"),
+        ("9th", f"table name `9th` {rule}"), ("sound", "duplicate table name `sound`"),
         (None, "at least one table is required")}

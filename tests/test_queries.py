@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from workload.oracles import ORACLES
+from workload.queries import QUERIES
 
 from .compare import compare, connect
 
@@ -17,7 +18,7 @@ QUICK = ["json_validity", "status_screen", "error_snippets", "envelope_detect",
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -38,6 +38,7 @@ def test_quarantine(spark, tmp_path):
     (folder / "able.json").write_text(json.dumps({"name": "able", "base_url": "http://a", "auth_type": "bearer", "env_vars": ["T"]}))
     (folder / "torn.json").write_text('{"name": "torn"')
     (folder / "other.json").write_text(json.dumps(doc))
+    (folder / "ports.json").write_text(json.dumps({"name": "ports", "base_url": "http://p", "endpoints": [{"name": "a", "path": "/a"}, {"name": "a"}, {"name": "B"}]}))
     (folder / "list.json").write_text("[]")
     (folder / "urlless.json").write_text('{"name": "urlless"}')
     good, bad = load_with_quarantine(spark, str(folder))
@@ -45,7 +46,7 @@ def test_quarantine(spark, tmp_path):
     assert {r.name: r.reason for r in bad.collect()} == {
         "list": "not a source definition: `name` is missing",
         "other": "declared name `shop` does not match the file name `other`",
-        "torn": "not valid JSON", "urlless": "not a source definition: `base_url` is missing"}
+        "ports": "duplicate endpoint name `a`", "torn": "not valid JSON", "urlless": "not a source definition: `base_url` is missing"}
     assert [(r.endpoint, r.path, r.ordinal) for r in catalog_of(good).orderBy("ordinal").collect()] == [
         ("b", "/b", 0), ("a", "/a", 1)]
 
@@ -75,24 +76,27 @@ def test_typed_table(spark):
 
 
 def fake_transport(url, headers, timeout):
-    if url.endswith("/missing"):
-        return 404, "text/plain", "nope"
+    if url.endswith("/tides"):
+        return 404, "text/plain", "no such page"
+    if url.endswith("/down"):
+        raise OSError("no route")
     return 200, "application/json", json.dumps({"url": url, "headers": sorted(headers), "timeout": timeout})
 
 
 def test_rest_endpoints(spark):
-    catalog = spark.createDataFrame(
-        [("s", "open", "http://h/api", "/users", "none", None), ("s", "keyed", "http://h/api/", "users", "api_key", ["APITABLES_TEST_TOKEN"]),
-         ("s", "bearer", "http://h", "", "bearer", ["APITABLES_TEST_TOKEN"]), ("s", "gone", "http://h", "missing", None, None)],
-        "source string, endpoint string, base_url string, path string, auth_type string, env_vars array<string>")
-    df = fetch(spark, catalog, fake_transport, timeout=7)
+    token, base = ["APITABLES_TEST_TOKEN"], "http://h/v2"
+    rows = [("plain", base, "/low", "none", None), ("keyed", base + "/", "low", "api_key", token), ("bearer", base, "", "bearer", token),
+            ("gone", base, "tides", None, None), ("down", base, "down", None, None), ("up", base, "../x", "bearer", token),
+            ("unset", base, "low", "api_key", ["APITABLES_UNSET"])]
+    catalog = spark.createDataFrame([("s", *r) for r in rows], "source string, endpoint string, base_url string, path string, auth_type string, env_vars array<string>")
+    df = fetch(catalog, fake_transport, timeout=7, per_task=2)
     assert df.rdd.getNumPartitions() == 4
-    rows = {r.endpoint: r for r in df.collect()}
-    body = {e: json.loads(rows[e].body) for e in ("open", "keyed", "bearer")}
-    assert body["open"] == {"url": "http://h/api/users", "headers": [], "timeout": 7.0}
-    assert body["keyed"]["url"] == "http://h/api/users" and body["keyed"]["headers"] == ["X-Api-Key"]
-    assert body["bearer"] == {"url": "http://h", "headers": ["Authorization"], "timeout": 7.0}
-    assert (rows["gone"].status, rows["gone"].body) == (404, "nope")
-    missing = catalog.filter("endpoint = 'keyed'").withColumn("env_vars", F.array(F.lit("APITABLES_UNSET")))
-    with pytest.raises(Exception, match="APITABLES_UNSET` is not set"):
-        fetch(spark, missing, fake_transport).collect()
+    got = {r.endpoint: r for r in df.collect()}
+    body = {e: json.loads(got[e].body) for e in ("plain", "keyed", "bearer")}
+    assert body["plain"] == {"url": "http://h/v2/low", "headers": [], "timeout": 7.0}
+    assert body["keyed"]["url"] == "http://h/v2/low" and body["keyed"]["headers"] == ["X-Api-Key"]
+    assert body["bearer"] == {"url": "http://h/v2", "headers": ["Authorization"], "timeout": 7.0}
+    assert (got["gone"].status, got["gone"].body) == (404, "no such page")
+    assert {e: (got[e].status, got[e].body) for e in ("down", "up", "unset")} == {
+        "down": (None, "no route"), "up": (None, "path must not contain `..` segments"), "unset": (None, "environment variable `APITABLES_UNSET` is not set")}
+    assert {r.endpoint for r in screen_status(df).filter("NOT ok AND message IS NOT NULL").collect()} == {"gone", "down", "up", "unset"}

@@ -7,27 +7,27 @@ from apitables.operators.tableset import TableSet, load
 
 @pytest.fixture
 def tables(spark):
-    db = {"orders": spark.createDataFrame([(1, 10), (2, 11)], "id int, customer_id int"),
-          "customers": spark.createDataFrame([(10, "Ada", "L")], "id int, first_name string, last_name string")}
-    sap = {"orders": spark.createDataFrame([(1, 5.0), (3, 6.0)], "order_id int, total double")}
-    return TableSet.empty().with_(load(db, "db_")).with_(load(sap, "sap_"))
+    harbour = {"visits": spark.createDataFrame([(71, 5), (72, 6)], "visit int, boat int"),
+               "boats": spark.createDataFrame([(5, "Ran", "DK")], "boat int, name string, flag string")}
+    tolls = {"paid": spark.createDataFrame([(71, 2.5), (73, 9.0)], "visit int, amount double")}
+    return TableSet.empty().with_(load(harbour, "h_")).with_(load(tolls, "t_"))
 
 
-def test_pipeline(tables):
+def test_stages(tables):
     out = tables.pipe(
-        lambda t: t.join("db_orders.id", "sap_orders.order_id", "orders", "db_", "sap_"),
-        lambda t: t.relate("orders.db_customer_id", "db_customers.id"),
-        lambda t: t.extend("db_customers", "full_name", F.concat_ws(" ", "first_name", "last_name")))
-    assert set(out.tables) == {"orders", "db_customers"}
-    assert out["orders"].columns == ["db_id", "db_customer_id", "sap_order_id", "sap_total"]
-    assert [tuple(r) for r in out["orders"].collect()] == [(1, 10, 1, 5.0)]
-    assert out["db_customers"].first().full_name == "Ada L"
-    assert out.orphan_rows("orders.db_customer_id", "db_customers.id").count() == 0
-    assert set(tables.tables) == {"db_orders", "db_customers", "sap_orders"}
-    before = tables.relate("db_orders.customer_id", "db_customers.id")
-    assert [r.id for r in before.orphan_rows("db_orders.customer_id", "db_customers.id").collect()] == [2]
-    for wrong in (lambda: tables.with_({"db_orders": tables["db_orders"]}), lambda: tables.relate("db_orders.x", "db_customers.id"),
-                  lambda: tables.join("db_orders.id", "db_customers.id", "o"), lambda: tables.orphan_rows("db_orders.id", "db_customers.id")):
+        lambda t: t.join("h_visits.visit", "t_paid.visit", "tolls", "v_", "p_"),
+        lambda t: t.relate("tolls.v_boat", "h_boats.boat"),
+        lambda t: t.extend("h_boats", "sign", F.concat_ws("/", "flag", "name")))
+    assert set(out.tables) == {"tolls", "h_boats"}
+    assert out["tolls"].columns == ["v_visit", "v_boat", "p_visit", "p_amount"]
+    assert [tuple(r) for r in out["tolls"].collect()] == [(71, 5, 71, 2.5)]
+    assert out["h_boats"].first().sign == "DK/Ran"
+    assert out.orphan_rows("tolls.v_boat", "h_boats.boat").count() == 0
+    assert set(tables.tables) == {"h_visits", "h_boats", "t_paid"}
+    related = tables.relate("h_visits.boat", "h_boats.boat")
+    assert [r.visit for r in related.orphan_rows("h_visits.boat", "h_boats.boat").collect()] == [72]
+    for wrong in (lambda: tables.with_({"t_paid": tables["t_paid"]}), lambda: tables.relate("h_visits.keel", "h_boats.boat"),
+                  lambda: tables.join("h_visits.visit", "h_boats.boat", "o"), lambda: tables.orphan_rows("h_visits.visit", "h_boats.boat")):
         with pytest.raises(ValueError):
             wrong()
 
@@ -41,18 +41,17 @@ def test_split_and_merge(spark):
 
 
 def test_sum_types(spark):
-    product = {"Online": ["sku", "url"], "InStore": ["sku", "aisle"]}
-    df = spark.createDataFrame([(1, "a", "u", None), (2, "b", None, 3), (3, "c", "u", 3), (4, None, None, None)],
-                               "id int, sku string, url string, aisle int")
-    rows = {r.id: r for r in tag_variant(df, product).collect()}
-    assert [rows[i].tag for i in (1, 2, 3, 4)] == ["Online", "InStore", None, None]
-    assert rows[1].Online.url == "u" and rows[1].InStore is None and rows[2].InStore.aisle == 3
-    states = spark.createDataFrame([("active",), ("active",), ("gone",), ("cancelled",)], "s string")
-    mapping = {"active": "Active", "cancelled": "Cancelled"}
-    assert [r.v for r in states.select(parse_enum(F.col("s"), mapping).alias("v")).collect()] == [
-        "Active", "Active", None, "Cancelled"]
-    assert [tuple(r) for r in enum_report(states, "s", mapping).collect()] == [("gone", 1)]
-    vals = spark.createDataFrame([(x,) for x in ['1', '"x"', '2.5', 'true', 'null', '"2024-01-15"', '[1]']], "j string")
+    mooring = {"Quay": ["place", "ring"], "Buoy": ["place", "depth"]}
+    df = spark.createDataFrame([(1, "N", "r4", None), (2, "S", None, 9), (3, "E", "r5", 7), (4, None, None, None)],
+                               "id int, place string, ring string, depth int")
+    rows = {r.id: r for r in tag_variant(df, mooring).collect()}
+    assert [rows[i].tag for i in (1, 2, 3, 4)] == ["Quay", "Buoy", None, None]
+    assert rows[1].Quay.ring == "r4" and rows[1].Buoy is None and rows[2].Buoy.depth == 9
+    lights = spark.createDataFrame([("fl",), ("fl",), ("??",), ("oc",)], "s string")
+    mapping = {"fl": "Flashing", "oc": "Occulting"}
+    assert [r.v for r in lights.select(parse_enum(F.col("s"), mapping).alias("v")).collect()] == ["Flashing", "Flashing", None, "Occulting"]
+    assert [tuple(r) for r in enum_report(lights, "s", mapping).collect()] == [("??", 1)]
+    vals = spark.createDataFrame([(x,) for x in ['7', '"k"', '0.5', 'false', 'null', '"1999-07-04"', '{}']], "j string")
     v = F.parse_json("j")
     got = [(r.a, r.b) for r in vals.select(conforms(v, ["string", "number"]).alias("a"), conforms(v, ["datetime"]).alias("b")).collect()]
     assert got == [(True, False), (True, False), (True, False), (False, False), (False, False), (True, True), (False, False)]

@@ -44,11 +44,11 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderkey // 32 AS p
 FROM orders"""
 
 _ENDPOINTS = f"""ends AS (
-    SELECT source, 'n' || c_nationkey AS endpoint, c_nationkey AS nation, count(*) AS customers,
+    SELECT source, 'n' || c_nationkey AS endpoint, c_nationkey AS nation, count(*) AS customers, count(DISTINCT page) AS pages,
            {answer_kind("source", "c_nationkey")} AS answer,
            c_nationkey % 6 <> 5 AND source <> 'household' AS was_recorded,
            c_nationkey % 6 <> 5 AND source NOT IN ('household', 'building') AS recorded
-    FROM (SELECT lower(c_mktsegment) AS source, c_nationkey FROM customer) GROUP BY ALL)"""
+    FROM (SELECT lower(c_mktsegment) AS source, c_nationkey, c_custkey // 32 AS page FROM customer) GROUP BY source, c_nationkey)"""
 
 ORACLES["records_guard"] = f"""
 WITH {_ENDPOINTS} SELECT source, endpoint, answer = 'good' AS is_record, customers AS record_count
@@ -134,12 +134,12 @@ late AS (SELECT endpoint, bool_or(o_custkey % 3 = 0) AS mail, bool_or(o_custkey
                 bool_or(o_orderkey % 2 = 1) AS noday FROM o WHERE NOT early AND endpoint IN (SELECT endpoint FROM o WHERE early) GROUP BY 1),
 c AS (
     SELECT endpoint, '~' AS op, 'id' AS path, 'int' AS was, 'string' AS now FROM late
-    UNION ALL SELECT endpoint, '-', 'legacy', 'bool', '' FROM late
+    UNION ALL SELECT endpoint, '-', 'rush', 'bool', '' FROM late
     UNION ALL SELECT endpoint, '~', 'day', 'date', 'date?' FROM late WHERE day AND noday
     UNION ALL SELECT endpoint, '-', 'day', 'date', '' FROM late WHERE NOT day
     UNION ALL SELECT endpoint, '+', 'buyer.state', '', 'string' FROM late
-    UNION ALL SELECT endpoint, '+', 'email', '', CASE WHEN nomail THEN 'string?' ELSE 'string' END FROM late WHERE mail)
-SELECT *, op || ' ' || path || ': ' || CASE op WHEN '~' THEN was || ' -> ' || now ELSE was || now END AS line FROM c"""
+    UNION ALL SELECT endpoint, '+', 'note', '', CASE WHEN nomail THEN 'string?' ELSE 'string' END FROM late WHERE mail)
+SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY op = '+', path) AS place, op || ' ' || path || ': ' || CASE op WHEN '~' THEN was || ' -> ' || now ELSE was || now END AS line FROM c"""
 
 ORACLES["diff_nested_suppressed"] = f"""
 SELECT DISTINCT lower(c_mktsegment) AS endpoint, line FROM customer, {_values("'~ c.addr: addr -> string'", "'~ tags[]: int -> string'")} t(line)"""
@@ -204,6 +204,7 @@ _OUTCOMES = f"""{_ENDPOINTS}, outs AS (
     SELECT *, CASE answer WHEN 'empty' THEN 'no_records' WHEN 'good' THEN 'inferred' ELSE 'failed' END AS outcome,
            answer = 'empty' AND recorded AS kept_schema,
            CASE answer WHEN 'busy' THEN 'request to `' || endpoint || '` failed with status 503: busy'
+                WHEN 'lost' THEN 'request to `' || endpoint || '` failed with status unknown: cut off'
                 WHEN 'html' THEN 'response is not valid JSON (content type: text/html)' WHEN 'numbers' THEN '{NOT_RECORDS}' ELSE '' END AS detail
     FROM ends)"""
 
@@ -218,6 +219,15 @@ ORACLES["publish_gate"] = f"""
 WITH {_OUTCOMES} SELECT source, bool_and(outcome <> 'failed') AS clean, count(*) FILTER (WHERE outcome = 'inferred' OR kept_schema) AS tables, clean AND tables > 0 AS publish
 FROM outs GROUP BY source"""
 
+# Of the two segments that never fail, one has a table name that cannot be written.
+ORACLES["publish_registry"] = f"""
+WITH {_OUTCOMES}, gate AS (
+    SELECT source, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'inferred' OR kept_schema) AS tables, count(*) AS n FROM outs GROUP BY source)
+SELECT source, CASE source WHEN 'furniture' THEN n ELSE failed END AS failed,
+       CASE source WHEN 'furniture' THEN 'cannot write the types file: table name `n 3` {RULE}' ELSE '' END AS problem,
+       CASE WHEN failed = 0 AND source <> 'furniture' THEN tables ELSE 0 END AS tables
+FROM gate"""
+
 _STEPS = f"""{_ENDPOINTS},
 srcs AS (SELECT source, count(*) AS n FROM ends GROUP BY source),
 steps AS (
@@ -227,13 +237,14 @@ steps AS (
     UNION ALL SELECT 'bare', '', 'config', 'passed', '' FROM srcs WHERE source = 'machinery'
     UNION ALL SELECT 'bare', '', 'endpoints', 'failed', 'no endpoints configured' FROM srcs WHERE source = 'machinery'
     UNION ALL
-    SELECT source, endpoint, 'connected', CASE WHEN source = 'furniture' THEN 'skipped' WHEN answer IN ('busy', 'html') THEN 'failed' ELSE 'passed' END,
+    SELECT source, endpoint, 'connected', CASE WHEN source = 'furniture' THEN 'skipped' WHEN answer IN ('busy', 'html', 'lost') THEN 'failed' ELSE 'passed' END,
            CASE WHEN source = 'furniture' THEN '' WHEN answer = 'busy' THEN 'request to `' || endpoint || '` failed with status 503: busy'
-                WHEN answer = 'html' THEN 'HTTP 200 but the response is not valid JSON (content type: text/html)' ELSE '200' END FROM ends
+                WHEN answer = 'lost' THEN 'request to `' || endpoint || '` failed with status unknown: cut off'
+                WHEN answer = 'html' THEN 'HTTP 200 but the response is not valid JSON (content type: text/html)' ELSE '200, ' || 7 * pages || 'ms' END FROM ends
     UNION ALL
     SELECT source, endpoint, 'contract',
-           CASE WHEN source = 'furniture' OR answer IN ('busy', 'html') THEN 'skipped' WHEN why IN ('', 'no records sampled') THEN 'passed' ELSE 'failed' END,
-           CASE WHEN source = 'furniture' OR answer IN ('busy', 'html') THEN '' ELSE why END
+           CASE WHEN source = 'furniture' OR answer IN ('busy', 'html', 'lost') THEN 'skipped' WHEN why IN ('', 'no records sampled') THEN 'passed' ELSE 'failed' END,
+           CASE WHEN source = 'furniture' OR answer IN ('busy', 'html', 'lost') THEN '' ELSE why END
     FROM (SELECT *, CASE WHEN source = 'building' THEN 'cannot read the types file: damaged'
                          WHEN answer = 'empty' AND recorded THEN 'no records sampled'
                          WHEN answer = 'empty' THEN 'nothing to verify: no records sampled, and no table recorded for `' || endpoint || '` yet'
@@ -252,11 +263,11 @@ FROM steps s LEFT JOIN lost l ON s.source = l.source GROUP BY s.source"""
 
 ORACLES["orphan_tables"] = f"WITH {_ENDPOINTS} SELECT source, 'old_' || endpoint AS endpoint FROM ends WHERE recorded AND nation % 10 = 0"
 
-ORACLES["source_connectivity"] = f"WITH {_ENDPOINTS} SELECT source, bool_and(answer NOT IN ('busy', 'html')) AS connected FROM ends GROUP BY source"
+ORACLES["source_connectivity"] = f"WITH {_ENDPOINTS} SELECT source, bool_and(answer NOT IN ('busy', 'html', 'lost')) AS connected FROM ends GROUP BY source"
 
 ORACLES["source_listing"] = f"""
 WITH {_ENDPOINTS} SELECT source, 'api' AS kind, 'http://' || source || '/v1' AS url, count(*) AS endpoints, bool_or(recorded) AS types,
-       bool_and(answer NOT IN ('busy', 'html')) AS connected
+       bool_and(answer NOT IN ('busy', 'html', 'lost')) AS connected
 FROM ends GROUP BY source"""
 
 # --- rules and URLs ------------------------------------------------------
@@ -295,9 +306,11 @@ FROM links, {_values("'below', true", "'root', false", "'base', true", "'sibling
                      "'other_port', false", "'up', false", "'coded', false", "'query', true")} t(form, inside)"""
 
 ORACLES["quarantine"] = """
-SELECT 'supplier-' || s_suppkey AS name, CASE s_suppkey % 5 WHEN 1 THEN 'not valid JSON'
+SELECT 'supplier-' || s_suppkey AS name, CASE s_suppkey % 8 WHEN 1 THEN 'not valid JSON'
        WHEN 2 THEN 'declared name `xsupplier-' || s_suppkey || '` does not match the file name `supplier-' || s_suppkey || '`'
-       WHEN 3 THEN 'not a source definition: `base_url` is missing' WHEN 4 THEN 'not a source definition: `name` is missing' ELSE 'good' END AS verdict
+       WHEN 3 THEN 'not a source definition: `base_url` is missing' WHEN 4 THEN 'not a source definition: `name` is missing'
+       WHEN 5 THEN 'endpoint name may only contain lowercase letters, digits, and underscores'
+       WHEN 6 THEN 'path `//x` must not start with `//`, which replaces the host' WHEN 7 THEN 'duplicate endpoint name `low`' ELSE 'good' END AS verdict
 FROM supplier"""
 
 ORACLES["rest_endpoints"] = """
@@ -310,7 +323,7 @@ FROM supplier"""
 ORACLES["ts_join_collapse"] = """
 SELECT o_orderkey AS o_o_orderkey, c_name AS c_c_name, c_mktsegment AS c_c_mktsegment, o_totalprice AS o_o_totalprice
 FROM orders JOIN customer ON o_custkey = c_custkey"""
-ORACLES["ts_relate_orphans"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+ORACLES["ts_relate_orphans"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"
 ORACLES["ts_extend"] = "SELECT c_custkey, c_name || ' ' || c_mktsegment AS full_name FROM customer"
 ORACLES["ts_split"] = """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'open' WHEN o_totalprice > 250000 THEN 'big' ELSE 'rest' END AS part FROM orders"""
@@ -320,8 +333,8 @@ UNION ALL SELECT s_name, s_acctbal, 'none' FROM supplier"""
 ORACLES["enum_parse"] = "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Filled' ELSE 'none' END AS state FROM orders"
 ORACLES["enum_unmatched"] = "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY 1"
 ORACLES["variant_tag"] = """
-SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Online' WHEN 1 THEN 'InStore' ELSE 'none' END AS tag,
-       CASE p_partkey % 3 WHEN 0 THEN p_name ELSE '' END AS url, CASE p_partkey % 3 WHEN 1 THEN p_size ELSE -1 END AS aisle
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Titled' WHEN 1 THEN 'Sized' ELSE 'none' END AS tag,
+       CASE p_partkey % 3 WHEN 0 THEN p_name ELSE '' END AS title, CASE p_partkey % 3 WHEN 1 THEN p_size ELSE -1 END AS size
 FROM part"""
 ORACLES["union_conform"] = "SELECT event_id, event_id % 4 IN (0, 1) AS id, event_id % 4 = 3 AS flag FROM events"
 ORACLES["typed_load"] = """

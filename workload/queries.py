@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from apitables.functions.json import value_kind, with_json
@@ -22,13 +23,13 @@ from apitables.operators.sums import conforms, enum_report, parse_enum, tag_vari
 from apitables.operators.tableset import TableSet, load
 from apitables.plans import contract, introspect, listing
 from apitables.session import shared_folder
-from apitables.sources.landed import judge_definitions
+from apitables.sources.landed import judge_definitions, split_definitions
 from apitables.sources.registry import read_registry, registry_state, write_registry
 from apitables.sources.rest import fetch
 from apitables.sources.typed import load_report, load_table
 
 from .bodies import (
-    catalog, contact_tables, documents, landed, nested_lines, order_pages, registry, table, world, world_responses,
+    catalog, contact_tables, documents, landed, nested_lines, order_pages, registry, recorded_bodies, table, world, world_responses,
 )
 
 def _path():
@@ -188,11 +189,11 @@ def _halves(spark, sf_dir):
     early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
     where = (F.lit("shop"), F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)), F.col("o_orderkey"))
     stored = landed(orders.filter(early), *where, F.to_json(F.struct(
-        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.lit(True).alias("legacy"),
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.lit(True).alias("rush"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.struct("o_custkey").alias("buyer"))))
     fresh = landed(orders.filter(~early), *where, F.to_json(F.struct(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("price"),
-        F.when(F.col("o_custkey") % 3 == 0, F.lit("x@y")).alias("email"),
+        F.when(F.col("o_custkey") % 3 == 0, F.lit("by hand")).alias("note"),
         F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
         F.struct("o_custkey", F.col("o_orderstatus").alias("state")).alias("buyer"))))
     return infer_schema(stored), infer_schema(fresh)
@@ -200,7 +201,8 @@ def _halves(spark, sf_dir):
 
 def schema_diff(spark, sf_dir):
     changes = diff_schemas(*_halves(spark, sf_dir))
-    return changes.select("endpoint", "op", F.col("path_text").alias("path"), F.coalesce("from_label", F.lit("")).alias("was"),
+    place = F.row_number().over(Window.partitionBy("source", "endpoint").orderBy("change_ord"))
+    return changes.select("endpoint", place.cast("long").alias("place"), "op", F.col("path_text").alias("path"), F.coalesce("from_label", F.lit("")).alias("was"),
                           F.coalesce("to_label", F.lit("")).alias("now"), "line")
 
 
@@ -269,7 +271,7 @@ def registry_problems(spark, sf_dir):
 
 
 def registry_roundtrip(spark, sf_dir):
-    path = f"{shared_folder(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
     nodes = _contacts(spark, sf_dir)
     write_registry(nodes, path)
     # Replacing one source must leave the others as they are.
@@ -278,7 +280,25 @@ def registry_roundtrip(spark, sf_dir):
 
 
 def registry_states(spark, sf_dir):
-    return registry_state(catalog(spark, sf_dir), registry(spark, sf_dir)).select("source", "state")
+    path = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    write_registry(normalise(infer_schema(recorded_bodies(spark, sf_dir))), path)
+    # One source's file is damaged by half a line.
+    spark.range(1).selectExpr("'{\"endpoint\": ' AS value").write.mode("append").text(f"{path}/source=building")
+    return registry_state(catalog(spark, sf_dir), read_registry(spark, path)).select("source", "state")
+
+
+def publish_registry(spark, sf_dir):
+    # Two segments are sound; the contracts of one of them have a table name that cannot be written.
+    cat, _, sampled, recorded = world(spark, sf_dir)
+    odd = F.when((F.col("source") == "furniture") & (F.col("endpoint") == "n3"), "n 3").otherwise(F.col("endpoint"))
+    sampled = introspect.Sampled(*[df.withColumn("endpoint", odd) for df in sampled])
+    path = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    outcomes = introspect.publish(cat.withColumn("endpoint", odd), sampled, recorded.nodes, path)
+    there = read_registry(spark, path).nodes.filter("depth = 0").groupBy("source").agg(F.count("*").alias("tables"))
+    told = outcomes.groupBy("source").agg(F.count_if(F.col("outcome") == "failed").alias("failed"),
+                                          F.max(F.when(F.col("detail").startswith("cannot write"), F.col("detail"))).alias("problem"))
+    return told.join(there, "source", "left").select("source", "failed", F.coalesce("problem", F.lit("")).alias("problem"),
+                                                     F.coalesce("tables", F.lit(0)).alias("tables"))
 
 
 # --- jobs ----------------------------------------------------------------
@@ -313,9 +333,8 @@ def _steps(spark, sf_dir):
 
 def contract_steps(spark, sf_dir):
     steps, _, _ = _steps(spark, sf_dir)
-    # Latency is summed over pages, whose number follows from the keys; the oracle knows the rest.
-    detail = F.regexp_replace(F.coalesce("detail", F.lit("")), r", [0-9]+ms$", "")
-    return steps.select("source", F.coalesce("endpoint", F.lit("")).alias("endpoint"), "step", "outcome", detail.alias("detail"))
+    return steps.select("source", F.coalesce("endpoint", F.lit("")).alias("endpoint"), "step", "outcome",
+                        F.coalesce("detail", F.lit("")).alias("detail"))
 
 
 def source_rollup(spark, sf_dir):
@@ -404,21 +423,26 @@ def rest_endpoints(spark, sf_dir):
         F.lit("suppliers").alias("source"), F.col("s_name").alias("endpoint"),
         F.concat(F.lit("http://h"), "s_nationkey", F.lit("/api/")).alias("base_url"), F.concat(F.lit("/items/"), "s_suppkey").alias("path"),
         F.lit("none").alias("auth_type"), F.array().cast("array<string>").alias("env_vars"))
-    return screen_status(fetch(spark, cat, echo, timeout=9)).select("endpoint", "status", "ok", "body")
+    return screen_status(fetch(cat, echo, timeout=9)).select("endpoint", "status", "ok", "body")
 
 
 def quarantine(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     name = F.concat(F.lit("supplier-"), F.col("s_suppkey"))
-    kind = F.col("s_suppkey") % 5
+    kind = F.col("s_suppkey") % 8
+    ends = lambda *pairs: F.lit(',"endpoints":[' + ",".join(f'{{"name":"{n}","path":"{p}"}}' for n, p in pairs) + "]}")
+    head = F.concat(F.lit('{"name":"'), name, F.lit('","base_url":"http://h/'), F.col("s_nationkey"), F.lit('"'))
     text = (
         F.when(kind == 1, F.concat(F.lit('{"name":"'), name, F.lit('"')))
         .when(kind == 2, F.concat(F.lit('{"name":"x'), name, F.lit('","base_url":"http://h"}')))
         .when(kind == 3, F.concat(F.lit('{"name":"'), name, F.lit('"}')))
         .when(kind == 4, F.lit('{"base_url":"http://h"}'))
-        .otherwise(F.concat(F.lit('{"name":"'), name, F.lit('","base_url":"http://h/'), F.col("s_nationkey"), F.lit('"}'))))
-    judged = judge_definitions(s.select(name.alias("file"), text.alias("text")))
-    return judged.select(F.col("file").alias("name"), F.coalesce("reason", F.lit("good")).alias("verdict"))
+        .when(kind == 5, F.concat(head, ends(("low", "/low"), ("Low", "../x"))))
+        .when(kind == 6, F.concat(head, ends(("low", "/low"), ("high", "//x"), ("low", "/low"))))
+        .when(kind == 7, F.concat(head, ends(("low", "/low"), ("high", "/high"), ("low", "/2"), ("", ""))))
+        .otherwise(F.concat(head, ends(("low", "/low"), ("high", "/high")))))
+    good, bad = split_definitions(judge_definitions(s.select(name.alias("file"), text.alias("text"))))
+    return good.select("name", F.lit("good").alias("verdict")).unionByName(bad.withColumnRenamed("reason", "verdict"))
 
 
 # --- table sets, typed loads and sum types -------------------------------
@@ -434,8 +458,9 @@ def ts_join_collapse(spark, sf_dir):
 
 
 def ts_relate_orphans(spark, sf_dir):
-    return (_shop(spark, sf_dir).relate("db_customer.c_custkey", "db_orders.o_custkey")
-            .orphan_rows("db_customer.c_custkey", "db_orders.o_custkey").select("c_custkey", "c_name"))
+    large = table(spark, sf_dir, "orders").filter("o_totalprice > 400000")
+    return (_shop(spark, sf_dir).with_({"large": large}).relate("db_customer.c_custkey", "large.o_custkey")
+            .orphan_rows("db_customer.c_custkey", "large.o_custkey").select("c_custkey", "c_name"))
 
 
 def ts_extend(spark, sf_dir):
@@ -469,11 +494,11 @@ def enum_unmatched(spark, sf_dir):
 def variant_tag(spark, sf_dir):
     key = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_brand").alias("sku"), F.when(key % 3 != 1, F.col("p_name")).alias("url"),
-        F.when(key % 3 != 0, F.col("p_size")).alias("aisle"))
-    tagged = tag_variant(rows, {"Online": ["sku", "url"], "InStore": ["sku", "aisle"]})
-    return tagged.select("p_partkey", F.coalesce("tag", F.lit("none")).alias("tag"), F.coalesce("Online.url", F.lit("")).alias("url"),
-                         F.coalesce("InStore.aisle", F.lit(-1)).alias("aisle"))
+        "p_partkey", F.col("p_brand").alias("brand"), F.when(key % 3 != 1, F.col("p_name")).alias("title"),
+        F.when(key % 3 != 0, F.col("p_size")).alias("size"))
+    tagged = tag_variant(rows, {"Titled": ["brand", "title"], "Sized": ["brand", "size"]})
+    return tagged.select("p_partkey", F.coalesce("tag", F.lit("none")).alias("tag"), F.coalesce("Titled.title", F.lit("")).alias("title"),
+                         F.coalesce("Sized.size", F.lit(-1)).alias("size"))
 
 
 def union_conform(spark, sf_dir):
@@ -514,7 +539,7 @@ QUERIES = {
         schema_diff, diff_nested_suppressed, fingerprints,
         record_names, record_declarations, contract_text, contract_line_rows, unqualified_names, registry_problems,
         registry_roundtrip, registry_states,
-        introspect_outcomes, carry_forward, publish_gate, contract_steps, source_rollup, orphan_tables,
+        introspect_outcomes, carry_forward, publish_gate, publish_registry, contract_steps, source_rollup, orphan_tables,
         source_connectivity, source_listing,
         path_violations, first_violations, url_join, link_scope, quarantine, rest_endpoints,
         ts_join_collapse, ts_relate_orphans, ts_extend, ts_split, ts_merge, enum_parse, enum_unmatched, variant_tag,
