@@ -18,14 +18,13 @@ from ..session import configure, materialize
 from .keyed import ENDPOINT
 from .screen import REC_KEY, unwrap
 
-# Deepest nesting a body may have, as for the JSON reader whose results are matched.
-MAX_DEPTH = 128
+# Levels that one pass expands; deeper containers are expanded further, by themselves, as many levels at a time.
 FIRST_DEPTH = 8
 
-# An order key is the record's place followed by up to three array positions inside the record.
+# An order key is the record's place followed by up to five array positions inside the record.
 # Positions beyond a field's width count as its last; this can only tie the display order.
 ORDER = "decimal(38,0)"
-_POSITIONS = [(10**11, 10**6 - 1), (10**5, 10**6 - 1), (1, 10**5 - 1)]
+_POSITIONS = [(10**11, 10**6 - 1), (10**7, 10**4 - 1), (10**4, 10**3 - 1), (10**2, 99), (1, 99)]
 _RECORD_UNIT = 10**17
 
 KINDS = ["null", "bool", "int", "float", "string", "date", "datetime", "array", "record"]
@@ -132,11 +131,6 @@ def profile(df: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int | None = N
             rounds.append(leaves)
             break
         rounds.append(leaves.filter("NOT hidden"))
-        if base + FIRST_DEPTH >= MAX_DEPTH:
-            # Not readable JSON, for the reader whose results are matched.
-            rounds.append(deep.withColumn("path", F.array().cast("array<string>")).withColumn("issue", F.lit(True))
-                          .withColumn("kind", F.lit(f"json 200 nested deeper than {MAX_DEPTH}")))
-            break
         part, base = materialize(_frontier(part, keys, FIRST_DEPTH, base)), base + FIRST_DEPTH
     whole = rounds[0]
     for more in rounds[1:]:
@@ -164,19 +158,27 @@ def path_stats(profiled: DataFrame) -> DataFrame:
     return profiled.filter(~F.col("issue")).drop("issue")
 
 
-def flatten(records: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int = FIRST_DEPTH) -> DataFrame:
-    """One row per JSON value: keys, rec_key, path, kind. Fails when a record is deeper than `depth`."""
+def flatten(records: DataFrame, keys: Sequence[str] = ENDPOINT) -> DataFrame:
+    """One row per JSON value, at every depth: keys, rec_key, path, kind.
+
+    A first job learns whether containers lie deeper than one pass reaches; only those are then written and expanded
+    further, by themselves.
+    """
     configure(records.sparkSession)
-    start = records if "issue" in records.columns else records.withColumn("issue", F.lit(None).cast("string"))
-    leaves = with_kind(_leaves(start, keys, depth), "v", "kind")
-    return records.sparkSession.sql(f"""
-        SELECT {_quoted(keys)} rec_key, slice(path, 1, len) AS path, {_ANCESTOR_KIND} AS kind
-        FROM (SELECT *, {_ANCESTORS.format(issue="false")}
-              FROM (SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))} rec_key, lead,
-                           {_path(depth)} AS path,
-                           IF({_hidden(depth)},
-                              raise_error('a record is nested deeper than depth'), kind) AS kind
-                    FROM {{leaves}}))""", leaves=leaves)
+    part = records if "issue" in records.columns else records.withColumn("issue", F.lit(None).cast("string"))
+    out, base = None, 0
+    while True:
+        deep = materialize(_frontier(part, keys, FIRST_DEPTH, base))
+        leaves = with_kind(_leaves(part, keys, FIRST_DEPTH, base), "v", "kind")
+        rows = records.sparkSession.sql(f"""
+            SELECT {_quoted(keys)} rec_key, slice(path, 1, len) AS path, {_ANCESTOR_KIND} AS kind
+            FROM (SELECT *, {_ANCESTORS.format(issue="false")}
+                  FROM (SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))} rec_key, lead, {_path(FIRST_DEPTH, base)} AS path, kind
+                        FROM {{leaves}} WHERE NOT coalesce({_hidden(FIRST_DEPTH)}, false)))""", leaves=leaves)
+        out = rows if out is None else out.unionByName(rows)
+        if deep.isEmpty():
+            return out
+        part, base = deep, base + FIRST_DEPTH
 
 
 _IS_FIELD = "coalesce(try_element_at(path, -1) LIKE '.%', false)"

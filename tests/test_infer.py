@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apitables.functions.json import is_strict_json
 from apitables.functions.text import is_iso_date, is_iso_datetime, is_tz_offset
-from apitables.operators.infer import column_profile, infer_column, infer_schema, path_stats, profile
+from apitables.operators.infer import column_profile, flatten, infer_column, infer_schema, path_stats, profile
 from apitables.operators.screen import explode_records, record_sets, unwrap
 
 from .helpers import as_labels, responses, schema_of
@@ -102,6 +102,8 @@ def test_optionality(spark):
 def test_member_order_inside_one_record(spark):
     got = schema_of(spark, {"v": [[{"x": "s"}], [{"x": 1}, {"x": True}]], "w": []})
     assert got["v[][].x"] == "string | int | bool"
+    got = schema_of(spark, {"v": [[[[["s", 1]]]]], "w": []})
+    assert got["v"] == "(string | int)[][][][][]"
 
 
 def test_envelopes(spark):
@@ -125,7 +127,7 @@ def test_depth_adapts(spark):
     df = responses(spark, {"endpoint": "t", "body": deep(20, '[[1,"x"],[{}]]')}, ("t2", {"a": 1}),
                    {"endpoint": "t", "response_ord": 1, "body": deep(6, '{"e":[true]}')},
                    {"endpoint": "t", "response_ord": 2, "body": deep(8, "{}")},
-                   {"endpoint": "pit", "body": deep(140, "1")})
+                   {"endpoint": "pit", "body": deep(140, "1")}, {"endpoint": "abyss", "body": deep(1200, "1")})
     stats = profile(unwrap(df))
     got = {(r.endpoint, "/".join(r.path), r.kind): r.n for r in stats.collect()}
     d = lambda n: "/".join([".d"] * n)
@@ -133,7 +135,12 @@ def test_depth_adapts(spark):
     assert got["t", d(6) + "/.e/[]", "bool"] == 1 and got["t", d(19), "record"] == 1
     assert (got["t", d(20), "array"], got["t", d(20) + "/[]", "array"]) == (1, 2)
     assert [got["t", d(20) + "/[]/[]", k] for k in ("int", "string", "record")] == [1, 1, 1]
-    assert got["pit", "", "json 200 nested deeper than 128"] == 1
+    assert got["pit", d(140), "int"] == 1 and got["pit", d(139), "record"] == 1
+    # The JSON reader itself ends at a thousand levels: such a body is not JSON to it, as a whole.
+    assert [k for e, *k in got if e == "abyss"] == [["", "json 200 application/json"]]
+    records = explode_records(df)
+    flat = flatten(records.filter("endpoint <> 'abyss'")).groupBy("endpoint", F.array_join("path", "/").alias("p"), "kind").count().collect()
+    assert {(r.endpoint, r.p, r.kind): r["count"] for r in flat} == {k: n for k, n in got.items() if k[0] != "abyss"}
     with pytest.raises(Exception, match="nested deeper"):
         infer_schema(df, depth=4).collect()
 

@@ -8,7 +8,7 @@ from apitables.operators.infer import infer_schema
 from apitables.operators.screen import explode_records, screen_status
 from apitables.sources.landed import catalog_of, load_with_quarantine, read_bodies, read_responses
 from apitables.sources.rest import fetch
-from apitables.sources.typed import load_report, load_table
+from apitables.sources.typed import load_report, load_source, load_table
 
 from .helpers import responses
 
@@ -52,29 +52,40 @@ def test_quarantine(spark, tmp_path):
 
 
 def test_typed_table(spark):
-    body = [{"id": 1, "d": "2024-02-29", "t": "2024-01-15t10:30:00-0530", "u": 1, "o": {"a": [1, 2], "when": "2024-01-01"}, "a b": True},
-            {"id": 2, "d": "2024-02-31", "t": "2024-01-15T10:30:00z", "u": "x", "o": {"a": [], "when": "2024-02-31"}, "f": 1, "a b": None},
-            {"id": 9223372036854775808, "d": None, "t": "2024-01-15T10:30:00+14", "u": None, "o": {"a": [3, 9223372036854775808], "when": "2024-01-03"}, "f": 2.5}]
+    body = [{"no": 4, "day": "2024-02-29", "at": "2024-02-28t23:30:00-0130", "mix": 1, "log": {"miles": [1, 2], "day": "2024-02-31"}, "two words": True, "wide": 1},
+            {"no": 5, "day": "2024-02-31", "at": "2024-02-29T10:00:00z", "mix": "x", "log": {"miles": [], "day": "2024-01-02"}, "two words": None, "wide": 18446744073709551615},
+            {"no": 6, "day": None, "at": "2024-02-29T10:00:00", "mix": None, "log": {"miles": [3, 9223372036854775808], "day": "2024-02-30"}, "rate": 0.5, "local": "2024-02-29T10:00:00.25"}]
     df = responses(spark, ("t", body))
     records, nodes = explode_records(df), infer_schema(df)
     table = load_table(records, nodes)
-    assert table.schema.simpleString() == (
-        "struct<a b:boolean,d:date,id:bigint,o:struct<a:array<bigint>,when:date>,t:timestamp,u:variant,f:double>")
-    rows = table.orderBy("t").drop("u").collect()
-    utc = lambda *a: datetime.datetime(*a)
-    assert [r.id for r in rows] == [None, 2, 1]
-    assert [r.d for r in rows] == [None, None, datetime.date(2024, 2, 29)]
-    assert [r.o.a for r in rows] == [[3, None], [], [1, 2]]
-    assert [str(r.o.when) for r in rows] == ["2024-01-03", "None", "2024-01-01"]
-    assert [r.f for r in rows] == [2.5, 1.0, None]
-    stamps = [r.s for r in table.orderBy("t").select(F.date_format("t", "yyyy-MM-dd HH:mm").alias("s")).collect()]
-    assert stamps == ["2024-01-14 20:30", "2024-01-15 10:30", "2024-01-15 16:00"]
+    assert dict(table.dtypes) == {
+        "no": "bigint", "day": "date", "at": "timestamp", "mix": "variant", "log": "struct<day:date,miles:array<decimal(20,0)>>", "two words": "boolean",
+        "wide": "decimal(20,0)", "rate": "double", "local": "timestamp_ntz"}
+    rows = table.drop("mix", "at").orderBy("no").collect()
+    assert [r.day for r in rows] == [datetime.date(2024, 2, 29), None, None]
+    assert [r.wide for r in rows] == [1, 2**64 - 1, None]
+    assert [r.log.miles for r in rows] == [[1, 2], [], [3, 2**63]]
+    assert rows[2].local == datetime.datetime(2024, 2, 29, 10, 0, 0, 250000)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        at = [r.s for r in load_table(records, nodes).orderBy("no").select(F.unix_timestamp("at").alias("s")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert at == [1709168400, 1709200800, 1709200800]
     lost = {r["column"]: (r.present, r.lost) for r in load_report(records, nodes).collect()}
-    assert lost == {"a b": (1, 0), "d": (2, 1), "id": (3, 1), "o": (3, 0), "t": (3, 0), "u": (2, 0), "f": (2, 0)}
+    assert lost == {"no": (3, 0), "day": (2, 1), "at": (3, 0), "mix": (2, 0), "log.day": (3, 2), "log.miles[]": (4, 0), "two words": (1, 0),
+                    "wide": (2, 0), "rate": (1, 0), "local": (1, 0)}
     with pytest.raises(ValueError):
         load_table(records, infer_schema(responses(spark, ("t", [1]))))
 
 
+def test_whole_source(spark):
+    df = responses(spark, ("boats", [{"no": 4}]), ("crews", {"name": "Ib"}), ("tally", [1]), {"source": "other", "endpoint": "boats", "body": {"x": 1}})
+    tables = load_source(explode_records(df), infer_schema(df), "shop", "s_")
+    assert {n: [tuple(r) for r in t.collect()] for n, t in tables.items()} == {"s_boats": [(4,)], "s_crews": [("Ib",)]}
+
+
 def fake_transport(url, headers, timeout):
     if url.endswith("/tides"):
         return 404, "text/plain", "no such page"

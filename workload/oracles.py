@@ -139,7 +139,7 @@ c AS (
     UNION ALL SELECT endpoint, '-', 'day', 'date', '' FROM late WHERE NOT day
     UNION ALL SELECT endpoint, '+', 'buyer.state', '', 'string' FROM late
     UNION ALL SELECT endpoint, '+', 'note', '', CASE WHEN nomail THEN 'string?' ELSE 'string' END FROM late WHERE mail)
-SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY op = '+', path) AS place, op || ' ' || path || ': ' || CASE op WHEN '~' THEN was || ' -> ' || now ELSE was || now END AS line FROM c"""
+SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY path = 'note', path) AS place, op || ' ' || path || ': ' || CASE op WHEN '~' THEN was || ' -> ' || now ELSE was || now END AS line FROM c"""
 
 ORACLES["diff_nested_suppressed"] = f"""
 SELECT DISTINCT lower(c_mktsegment) AS endpoint, line FROM customer, {_values("'~ c.addr: addr -> string'", "'~ tags[]: int -> string'")} t(line)"""
@@ -341,6 +341,30 @@ ORACLES["typed_load"] = """
 SELECT o_orderkey AS id, o_totalprice AS price, CASE WHEN o_orderkey % 10 = 0 THEN 'lost' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day,
        strftime(o_orderdate + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M') AS at, o_custkey AS buyer
 FROM orders"""
+ORACLES["typed_load_unsigned"] = """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN '18446744073709551615' ELSE o_orderkey::VARCHAR END AS wide,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS local, 'wide:decimal(20,0) local:timestamp_ntz' AS kinds FROM orders"""
 ORACLES["typed_load_report"] = f"""
-SELECT "column", count(*) AS present, count(*) FILTER (WHERE "column" = 'day' AND o_orderkey % 10 = 0) AS lost
-FROM orders, {_values("'id'", "'price'", "'day'", "'at'", "'buyer'")} t("column") GROUP BY ALL"""
+SELECT "column", CAST(count(*) * n AS BIGINT) AS present, count(*) FILTER (WHERE dated AND o_orderkey % 10 = 0) AS lost
+FROM orders, {_values("'id', 1, false", "'price', 1, false", "'day', 1, true", "'wide', 1, false", "'at', 1, false", "'local', 1, false",
+                      "'buyer.id', 1, false", "'buyer.days[]', 2, true")} t("column", n, dated) GROUP BY "column", n"""
+ORACLES["ts_load_source"] = """
+SELECT 'one_customer' AS name, c_custkey AS id, c_name AS city, c_acctbal AS lat FROM customer WHERE c_nationkey % 5 = 1
+UNION ALL SELECT 'one_supplier', s_suppkey, s_name, s_acctbal FROM supplier WHERE s_nationkey % 5 = 1"""
+_LEVELS = "(SELECT unnest([12, 140]) AS levels)"
+ORACLES["infer_deep"] = f"""
+SELECT levels, CAST(0 AS BIGINT) AS depth, '' AS step, 'deep' AS label, false AS optional FROM {_LEVELS}
+UNION ALL SELECT levels, d, '.d', 'd', d = 2 FROM {_LEVELS}, range(1, levels + 1) AS t(d)
+UNION ALL SELECT levels, levels + 1, '.key', 'int', false FROM {_LEVELS}
+UNION ALL SELECT levels, levels + 1, '.who', 'int[]', false FROM {_LEVELS}
+UNION ALL SELECT levels, levels + 2, '[]', 'int', false FROM {_LEVELS}
+UNION ALL SELECT levels, 2, '.flat', 'string', true FROM {_LEVELS}"""
+ORACLES["flatten_deep"] = """
+WITH n AS (SELECT count(*) FILTER (WHERE o_orderkey % 2 = 0) AS deep, count(*) FILTER (WHERE o_orderkey % 2 <> 0) AS flat FROM orders)
+SELECT CAST(0 AS BIGINT) AS depth, '' AS step, 'record' AS kind, deep + flat AS n FROM n
+UNION ALL SELECT d, '.d', 'record', CASE d WHEN 1 THEN deep + flat ELSE deep END FROM n, range(1, 13) AS t(d)
+UNION ALL SELECT 2, '.flat', 'string', flat FROM n UNION ALL SELECT 13, '.key', 'int', deep FROM n
+UNION ALL SELECT 13, '.who', 'array', deep FROM n UNION ALL SELECT 14, '[]', 'int', deep FROM n"""
+ORACLES["infer_nested_array_order"] = """
+SELECT o_orderpriority, CASE WHEN min(o_orderkey) % 2 = 0 THEN '(string | int)[][][][]' ELSE '(int | string)[][][][]' END AS label
+FROM orders GROUP BY 1"""

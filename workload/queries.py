@@ -26,7 +26,7 @@ from apitables.session import shared_folder
 from apitables.sources.landed import judge_definitions, split_definitions
 from apitables.sources.registry import read_registry, registry_state, write_registry
 from apitables.sources.rest import fetch
-from apitables.sources.typed import load_report, load_table
+from apitables.sources.typed import load_report, load_source, load_table
 
 from .bodies import (
     catalog, contact_tables, documents, landed, nested_lines, order_pages, registry, recorded_bodies, table, world, world_responses,
@@ -514,9 +514,12 @@ def _dated_orders(spark, sf_dir):
     orders = documents(spark, sf_dir, "orders")
     day = F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-02-31"))).otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd"))
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    wide = F.when(F.col("o_orderkey") % 5 == 0, F.lit("18446744073709551615").cast("decimal(20,0)")).otherwise(F.col("o_orderkey").cast("decimal(20,0)"))
     return landed(orders, F.lit("shop"), F.lit("orders"), F.col("o_orderkey"), F.to_json(F.struct(
-        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), day.alias("day"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'-0530'").alias("at"), F.struct(F.col("o_custkey").alias("id")).alias("buyer"))))
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), day.alias("day"), wide.alias("wide"),
+        F.concat(stamp, F.lit("-0530")).alias("at"), stamp.alias("local"),
+        F.struct(F.col("o_custkey").alias("id"), F.array(day, F.lit("2024-01-15")).alias("days")).alias("buyer"))))
 
 
 def typed_load(spark, sf_dir):
@@ -526,11 +529,55 @@ def typed_load(spark, sf_dir):
                        F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"), F.col("buyer.id").alias("buyer"))
 
 
+def typed_load_unsigned(spark, sf_dir):
+    responses = _dated_orders(spark, sf_dir)
+    rows = load_table(explode_records(responses), infer_schema(responses))
+    kinds = F.lit(" ".join(f"{n}:{t}" for n, t in rows.select("wide", "local").dtypes))
+    return rows.select("id", F.col("wide").cast("string").alias("wide"), F.date_format("local", "yyyy-MM-dd HH:mm:ss").alias("local"), kinds.alias("kinds"))
+
+
 def typed_load_report(spark, sf_dir):
     responses = _dated_orders(spark, sf_dir)
     return load_report(explode_records(responses), infer_schema(responses))
 
 
+def ts_load_source(spark, sf_dir):
+    responses = contact_tables(spark, sf_dir)
+    tables = TableSet.empty().with_(load_source(explode_records(responses), infer_schema(responses), "s1", "one_"))
+    rows = [tables[n].select(F.lit(n).alias("name"), "id", F.col("address.city").alias("city"), F.col("home.geo.lat").alias("lat")) for n in sorted(tables.tables)]
+    return rows[0].unionByName(rows[1]) if len(rows) > 1 else rows[0]
+
+
+def _deep_orders(spark, sf_dir, levels):
+    orders = documents(spark, sf_dir, "orders")
+    inner = F.concat(F.lit('{"key":'), F.col("o_orderkey"), F.lit(',"who":['), F.col("o_custkey"), F.lit("]}"))
+    body = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('{"d":' * levels), inner, F.lit("}" * levels))).otherwise(
+        F.concat(F.lit('{"d":{"flat":"'), F.col("o_orderstatus"), F.lit('"}}')))
+    return landed(orders, F.lit("shop"), F.lit("deep"), F.col("o_orderkey"), body)
+
+
+def infer_deep(spark, sf_dir):
+    # Twelve levels take a second round, 140 many; the path's length stands for its steps.
+    out = None
+    for levels in (12, 140):
+        nodes = infer_schema(_deep_orders(spark, sf_dir, levels)).select(
+            F.lit(levels).alias("levels"), F.col("depth").cast("long").alias("depth"), F.try_element_at("path", F.lit(-1)).alias("step"), "label", "optional")
+        out = nodes if out is None else out.unionByName(nodes)
+    return out.select("levels", "depth", F.coalesce("step", F.lit("")).alias("step"), "label", "optional")
+
+
+def flatten_deep(spark, sf_dir):
+    nodes = flatten(explode_records(_deep_orders(spark, sf_dir, 12)))
+    return nodes.groupBy(F.size("path").cast("long").alias("depth"), F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit("")).alias("step"), "kind").agg(F.count("*").alias("n"))
+
+
+def infer_nested_array_order(spark, sf_dir):
+    first = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('"'), "o_orderstatus", F.lit('",'), F.col("o_custkey"))).otherwise(
+        F.concat(F.col("o_custkey"), F.lit(',"'), "o_orderstatus", F.lit('"')))
+    rows = documents(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.concat(F.lit('{"v":[[[['), first, F.lit("]]]]}")).alias("doc"))
+    return infer_column(rows, "doc", ["o_orderpriority"], "o_orderkey").filter("depth = 1").select("o_orderpriority", "label")
+
+
 QUERIES = {
     f.__name__: f for f in (
         json_validity, status_screen, error_snippets, envelope_detect, envelope_unwrap, records_guard,
@@ -543,6 +590,7 @@ QUERIES = {
         source_connectivity, source_listing,
         path_violations, first_violations, url_join, link_scope, quarantine, rest_endpoints,
         ts_join_collapse, ts_relate_orphans, ts_extend, ts_split, ts_merge, enum_parse, enum_unmatched, variant_tag,
-        union_conform, typed_load, typed_load_report,
+        union_conform, typed_load, typed_load_unsigned, typed_load_report, ts_load_source,
+        infer_deep, flatten_deep, infer_nested_array_order,
     )
 }
