@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bounded(rows: DataFrame, docs: int, size: int) -> DataFrame:
-    """(kind, text): of each kind at most `docs` rows, those that come first by `order`, up to `size` UTF-8 bytes.
+def bounded(ids: DataFrame, texts: DataFrame, docs: int, size: int) -> DataFrame:
+    """(kind, text): of each kind at most `docs` rows, those that come first by a hash of the id, up to `size` UTF-8 bytes.
 
-    `rows` has kind, text and order (a 64-bit hash of the id, so the choice does not depend on the content). Rows are
-    counted first, and only those whose hash lies in twice the share that is needed are ranked, so the ranking of a hot
-    kind stays small.
+    `ids` has kind, id and size, `texts` id and text; rows without id are left out. Rows are counted first, and only
+    those whose hash lies in twice the share that is needed are ranked, so the ranking of a hot kind stays small. The ids
+    that are picked, `docs` for each kind at most, are sent to the texts, which are not shuffled.
     """
-    rows = rows.select("kind", "text", "order", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    rows = ids.where("id IS NOT NULL").select("kind", "id", F.coalesce("size", F.lit(0)).alias("size"), F.xxhash64("id").alias("order"))
     counts = rows.groupBy("kind").agg(F.count("*").alias("n"))
     share = F.col("order") / F.lit(2.0**64) + 0.5
-    near = rows.select("kind", "order", "size").join(counts, "kind").where(share <= 2.0 * docs / F.col("n"))
-    by = Window.partitionBy("kind").orderBy("order", "size")
-    ids = near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= docs)
-    ids = ids.withColumn("before", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < size)
-    return rows.join(ids.select("kind", "order", "size").distinct(), ["kind", "order", "size"], "left_semi").select("kind", "text")
+    near = rows.join(F.broadcast(counts), "kind").where(share <= 2.0 * docs / F.col("n"))
+    by = Window.partitionBy("kind").orderBy("order", "id", "size")
+    picked = near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= docs)
+    picked = picked.withColumn("before", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < size)
+    return texts.join(F.broadcast(picked.select("kind", "id").distinct()), "id").select("kind", "text")

@@ -28,7 +28,8 @@ from apitables.llm.texts import slices, span_hashes, utf8, word_spans
 from apitables.session import materialize
 
 POSITIVES, UNLABELLED, SAMPLE_BYTES = 4000, 8000, 32 << 20
-FEATURES, LEAST_POSITIVES = 512, 5
+#: Features at most; positives that must have one, and standard deviations by which their share must exceed the usual one.
+FEATURES, LEAST_POSITIVES, LEAST_WORTH = 512, 5, 3.0
 BEGINNINGS = [4, 5, 6, 7, 8]
 STEPS, RATE, DECAY = 600, 0.05, 1e-4
 
@@ -88,18 +89,19 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", te
     A document with several labels is toxic if one of them says so. Without a toxic example the model scores 0 words of
     evidence: every text gets the prior, or 0 if there is no label at all.
     """
-    rows = df.where(learn & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = df.where(learn & F.col(key).isNotNull())
+    ids = rows.select(F.col(key).alias("id"), F.octet_length(text).alias("size"))
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
-    marked = rows.join(known, "id", "left")
+    marked = materialize(ids.join(known, "id", "left"))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).toLocalIterator()}
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     prior = toxic / max(1, toxic + clean)
     empty = Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     if not toxic:
         return empty
-    order = F.xxhash64("id").alias("order")
-    positive = bounded(marked.where("toxic = 1").select(F.lit(1).alias("kind"), "text", order), POSITIVES, SAMPLE_BYTES)
-    unlabelled = bounded(marked.select(F.lit(0).alias("kind"), "text", order), UNLABELLED, SAMPLE_BYTES)
+    texts = rows.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    positive = bounded(marked.where("toxic = 1").select(F.lit(1).alias("kind"), "id", "size"), texts, POSITIVES, SAMPLE_BYTES)
+    unlabelled = bounded(marked.select(F.lit(0).alias("kind"), "id", "size"), texts, UNLABELLED, SAMPLE_BYTES)
     sample = materialize(positive.unionByName(unlabelled))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +123,9 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", te
     sizes = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count("*").alias("n")).toLocalIterator()}
     n_p, n_u = sizes[1], sizes[0]
     told = sample.mapInArrow(present, "h bigint, p bigint, u bigint").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= min(LEAST_POSITIVES, n_p))
-    worth = F.col("p") / n_p * F.log(((F.col("p") + 0.5) / n_p) / ((F.col("u") + 0.5) / n_u))
-    features = np.sort(told.orderBy(worth.desc(), "h").limit(FEATURES).select("h").toArrow()["h"].to_numpy().view(np.uint64))
+    usual = (F.col("u") + 1) / (n_u + 2)
+    worth = (F.col("p") / n_p - usual) / F.sqrt(usual * (1 - usual) / n_p)
+    features = np.sort(told.where(worth >= LEAST_WORTH).orderBy(worth.desc(), "h").limit(FEATURES).select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
