@@ -16,6 +16,8 @@ def join_keyed(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -
 
     For a full outer join the key columns hold whichever side is present.
     """
+    if not on:
+        raise ValueError("a join needs at least one key")
     renamed = right.select(
         *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(on)],
         *[F.col(f"`{c}`") for c in right.columns if c not in on],
@@ -23,7 +25,7 @@ def join_keyed(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -
     match: Column = reduce(
         lambda a, b: a & b,
         [left[f"`{c}`"].eqNullSafe(renamed[f"_r{i}"]) for i, c in enumerate(on)],
-    ) if on else F.lit(True)
+    )
     joined = left.join(renamed, match, how)
     if how in ("left_semi", "left_anti"):
         return joined

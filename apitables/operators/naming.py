@@ -246,9 +246,10 @@ def contract_lines(registry: DataFrame) -> DataFrame:
 
 def render_contract(registry: DataFrame) -> DataFrame:
     """(source, text): the whole contract of each source, which by its nature is one value."""
-    return contract_lines(registry).sparkSession.sql("""
+    lines = contract_lines(registry)
+    return lines.sparkSession.sql("""
         SELECT source, array_join(transform(array_sort(collect_list(struct(decl, text))), d -> d.text), '\n') AS text
         FROM (SELECT source, decl, array_join(transform(array_sort(collect_list(struct(line_ord, text))),
                                                         l -> l.text || '\n'), '') AS text
               FROM {lines} GROUP BY source, decl)
-        GROUP BY source""", lines=contract_lines(registry))
+        GROUP BY source""", lines=lines)

@@ -42,7 +42,7 @@ def write_registry(registry: DataFrame, path: str) -> None:
     configure(registry.sparkSession)
     rows = registry.select("source", *NODES.names)
     # The rows may come from the very files about to be replaced.
-    materialize(rows).repartition("source").write.mode("overwrite").option(
+    materialize(rows).repartition("source", "endpoint").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("source").json(path)
 
 
