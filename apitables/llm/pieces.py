@@ -2,8 +2,7 @@
 
 A pre-token is a run of spaces with the characters up to the next space; as no piece has a space behind another
 character, every segmentation of a text is one of its pre-tokens, strung together. Like the vocabulary's own encoder,
-texts get a leading space, and characters that are no piece are spelled with byte pieces. Pre-tokens are told apart by
-64-bit hashes within a slice of a batch.
+texts get a leading space, and characters that are no piece are spelled with byte pieces.
 
 The nodes of the trie are the distinct prefixes of the pre-tokens, numbered by length; an edge leads from a prefix to
 the one that is a piece longer. So what depends on a prefix alone is computed once for all pre-tokens that share it.
@@ -16,12 +15,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 
-from apitables.llm.texts import FACTOR, mix, powers, span_hashes, utf8
+from apitables.llm.texts import FACTOR, STEP, powers, utf8
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-_FILTER = (1 << 20) - 1
+#: The filter of piece hashes goes by their first 20 bits.
+_SHIFT = np.uint64(44)
 #: Bytes in a character, by its first byte; stray continuation bytes are characters of their own.
 _WIDTH = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16, np.int64)
 
@@ -42,15 +43,15 @@ class Vocabulary:
     def __post_init__(self) -> None:
         sizes = np.array([len(x) for x in self.text])
         self.tables = {}
-        self.filter = np.zeros(_FILTER + 1, bool)
+        self.filter = np.zeros(1 << 20, bool)
         for size in np.unique(sizes[self.usable]).tolist():
             ids = np.flatnonzero(self.usable & (sizes == size))
             data = np.frombuffer(b"".join(self.text[i] for i in ids), np.uint8).reshape(-1, size)
             up, _ = powers(size)
-            hashes = mix(((data.astype(np.uint64) + np.uint64(1)) * up[:size]).sum(axis=1, dtype=np.uint64) + _tag(size))
+            hashes = ((data.astype(np.uint64) + np.uint64(1)) * up[:size]).sum(axis=1, dtype=np.uint64) * STEP + _tag(size)
             order = np.argsort(hashes)
             self.tables[size] = hashes[order], ids[order].astype(np.int32)
-            self.filter[(hashes & np.uint64(_FILTER)).astype(np.int64)] = True
+            self.filter[hashes >> _SHIFT] = True
 
     def __len__(self) -> int:
         return len(self.text)
@@ -91,7 +92,7 @@ def cached(model: bytes) -> Vocabulary:
 class PreTokens:
     """The pre-tokens of some texts: `which` is each one's number among the distinct ones, `first` each text's first."""
 
-    distinct: list[bytes]
+    distinct: pa.Array
     which: np.ndarray
     first: np.ndarray
 
@@ -110,12 +111,10 @@ def pre_tokens(column: pa.Array) -> PreTokens:
         opens[1:] &= ~space[:-1]
         opens[begins[:-1][filled]] = True
     starts = np.flatnonzero(opens)
-    ends = np.append(starts[1:], len(buffer))[: len(starts)]
-    hashes = span_hashes(buffer + np.uint8(1), starts, ends)[0]
-    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-    raw = buffer.tobytes()
-    distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-    return PreTokens(distinct, which, np.searchsorted(starts, begins))
+    ends = np.append(starts, len(buffer))
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(buffer)])
+    found = tokens.dictionary_encode()
+    return PreTokens(found.dictionary, found.indices.to_numpy(), np.searchsorted(starts, begins))
 
 
 @dataclass
@@ -137,12 +136,10 @@ class Trie:
     data: np.ndarray
     end: np.ndarray
 
-    def __init__(self, tokens: list[bytes], vocab: Vocabulary) -> None:
-        order = sorted(range(len(tokens)), key=tokens.__getitem__)
-        raw = b"".join(tokens[i] for i in order)
-        data = np.frombuffer(raw, np.uint8)
-        sizes = np.array([len(tokens[i]) for i in order], np.int64)
-        off = np.concatenate(([0], np.cumsum(sizes)))
+    def __init__(self, tokens: pa.Array, vocab: Vocabulary) -> None:
+        order = pc.sort_indices(tokens).to_numpy()
+        data, off = utf8(tokens.take(pa.array(order)))
+        sizes = np.diff(off)
         shared = np.zeros(len(order), np.int64)
         active, j = np.arange(1, len(order)), 0
         while len(active):
@@ -177,8 +174,10 @@ class Trie:
             piece = np.full(len(nodes), -2, np.int32)
             if size in vocab.tables:
                 hashes, ids = vocab.tables[size]
-                h = mix((total[self.end[nodes]] - total[starts]) * down[starts] + _tag(size))
-                maybe = np.flatnonzero(vocab.filter[(h & np.uint64(_FILTER)).astype(np.int64)])
+                h = (total[self.end[nodes]] - total[starts]) * down[starts]
+                h *= STEP
+                h += _tag(size)
+                maybe = np.flatnonzero(vocab.filter[h >> _SHIFT])
                 number = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
                 piece[maybe] = np.where(hashes[number] == h[maybe], ids[number], -2)
             if size <= 4:

@@ -36,15 +36,13 @@ def fold(key: str, folds: int) -> Column:
 @query
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every whole document, and whether decoding each gives the document back."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    decoded = sample_encode.decode(sample_encode.encode(documents, keep=("text_hash",)))
-    return decoded.select(
+    encoded = sample_encode.encode(table(spark, sf_dir, "documents"), verify=True)
+    return encoded.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("bigint").alias("n_samples"),
         F.transform("ids", lambda x: F.size(x).cast("bigint")).alias("n_pieces"),
         F.transform("ids", lambda x: F.xxhash64(x)).alias("ids_hash"),
-        "log_prob", "log_inclusion",
-        F.forall("texts", lambda x: F.xxhash64(x) == F.col("text_hash")).alias("round_trip"),
+        "log_prob", "log_inclusion", "round_trip",
     )
 
 

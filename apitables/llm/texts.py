@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 BLOCK = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1B54A32D192ED03)
 
@@ -52,8 +52,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column and where each text starts in them; null is an empty text."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """Bytes of a string or binary column and where each text starts in them; null is an empty text."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(1, np.int64)
     whole = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)

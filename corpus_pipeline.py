@@ -63,10 +63,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of each document, with their log probabilities and inclusion scores, and whether they decode to it."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    decoded = sample_encode.decode(sample_encode.encode(rows, keep=("text_hash",)))
-    same = F.forall("texts", lambda x: F.xxhash64(x) == F.col("text_hash"))
-    return decoded.select(F.col("id").alias("doc_id"), "ids", "log_prob", "log_inclusion", same.alias("round_trip"))
+    return sample_encode.encode(docs, verify=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
