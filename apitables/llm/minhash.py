@@ -7,7 +7,8 @@ the table that every task holds has a fixed size. Texts of fewer than five words
 Rows with the same text are one node. Nodes that share a band meet in a bucket. A bucket is worked off in rounds: its
 first nodes are compared with all its members of other classes, then they leave it; the classes are merged, and
 buckets whose members are all in one class are done. So every two members are compared or already connected, no pairs
-are made within a group beyond these, and a bucket of copies costs one comparison for each member.
+are made within a group beyond these, and a bucket of copies costs one comparison for each member. Members of large
+buckets that a bound shows to be unlike all others there leave beforehand.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 SLOTS_LOG2 = 20
 POOL_LOG2 = 16
-#: Members that one leader's chunk holds in the comparison, and leaders of a bucket in the first round (times 8 in each next one).
-CHUNK, LEADERS = 2000, 1
+#: Members that one leader's chunk holds in the comparison; leaders of a bucket in the first round (times 8 in each next
+#: one); members beyond which a bucket is thinned out first.
+CHUNK, LEADERS, HOT = 500, 1, 32
+#: Bits of the set that keeps most documents without candidates out of the shuffle of bags.
+SIEVE_LOG2 = 24
 
 
 @lru_cache(1)
@@ -123,16 +127,60 @@ def signatures(df: DataFrame, key: str, text: str, idf, shingle: int = SHINGLE)
     return df.select(key, text).mapInArrow(sign, "id bigint, h1 bigint, h2 bigint, weight double, bands array<bigint>")
 
 
-def bags(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """node, and its distinct shingles (low 32 bits) with counts as packed arrays."""
+def bags(df: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
+    """node, and its distinct shingles (low 32 bits) with counts as packed arrays, of the nodes in `wanted`.
+
+    A bit set of fixed size over hashes of the wanted nodes lets a task skip nearly all other documents before they are
+    shuffled; the join decides.
+    """
+    slot = F.pmod(F.xxhash64("node"), F.lit(1 << SIEVE_LOG2))
+    bits = wanted.select(slot.alias("slot")).groupBy(F.expr("shiftright(slot, 6)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
+    sieve = np.zeros(1 << SIEVE_LOG2 - 6, np.int64)
+    sieve[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast(sieve)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
+            at = part.column("slot").to_numpy()
+            part = part.filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
             hashes, at = shingles(*words(part.column(text)), shingle)
             sets = [np.unique((hashes[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True) for a, b in zip(at, at[1:])]
             yield pa.record_batch({"node": part.column(key).cast(pa.int64()), "items": pa.array([u.tobytes() for u, _ in sets], pa.binary()), "counts": pa.array([n.astype(np.uint32).tobytes() for _, n in sets], pa.binary())})
 
-    return df.select(key, text).mapInArrow(pack, "node bigint, items binary, counts binary")
+    rows = df.where(F.col(key).isNotNull()).select(key, text, F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(1 << SIEVE_LOG2)).alias("slot"))
+    return rows.mapInArrow(pack, "node bigint, items binary, counts binary").join(wanted, "node", "left_semi")
+
+
+def _bounded(members: DataFrame, found: DataFrame, idf, threshold: float) -> DataFrame:
+    """`members` with `shared`, the weight that a node can have in common with another member of its bucket at most.
+
+    In large buckets it leaves out the shingles that no other node of the large buckets has; nodes that keep less than
+    the threshold's share go. So pairs of far variants of one text, which are many and in vain, are not compared.
+    """
+    large = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket")
+    inside = materialize(members.join(large, "bucket"))
+    nodes = inside.select("node").distinct()
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shingle of some nodes once, with how many of them have it; node and share mean something if it is one."""
+        table = idf.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("items")]
+                counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("counts")]
+                weights = [(1 + np.log(n)) * table[u & np.uint32(len(table) - 1)] for u, n in zip(sets, counts)]
+                share = np.concatenate([w / w.sum(dtype=np.float64) for w in weights])
+                item, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+                node = np.repeat(part.column("node").to_numpy(), [len(u) for u in sets])
+                yield pa.record_batch({"item": pa.array(item.view(np.int32)), "n": pa.array(n, pa.int64()), "node": pa.array(node[first]), "share": pa.array(share[first], pa.float64())})
+
+    one = found.join(nodes, "node", "left_semi").mapInArrow(items, "item int, n bigint, node bigint, share double").groupBy("item")
+    own = one.agg(F.sum("n").alias("n"), F.min("node").alias("node"), F.min("share").alias("share")).where("n = 1")
+    alone = own.groupBy("node").agg(F.sum("share").alias("share"))
+    left = F.lit(1.0) - F.coalesce("share", F.lit(0.0))
+    kept = inside.join(alone, "node", "left").where(left >= threshold * (1 - 1e-6)).select("bucket", "node", "weight", "bands", (left * F.col("weight")).alias("shared"))
+    return members.join(large, "bucket", "left_anti").select("bucket", "node", "weight", "bands", F.col("weight").alias("shared")).unionByName(kept)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -193,6 +241,14 @@ def _unresolved(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return own.join(mixed, "bucket")
 
 
+def _leaders(todo: DataFrame, n: int) -> DataFrame:
+    """The first n members of each bucket, those of its largest class before others: they are compared with the fewest."""
+    sizes = todo.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("class", F.col("n")).alias("main"))
+    order = Window.partitionBy("bucket").orderBy(F.col("class") != F.col("main"), "node")
+    return todo.join(main, "bucket").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place", "main")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """(id, class_id) for each row of `df`: its near-duplicate class, named by the least id in it.
 
@@ -206,20 +262,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     nodes = signed.where("id IS NOT NULL AND h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("node"))
     signed = materialize(signed.join(nodes, ["h1", "h2"], "left").select("id", F.coalesce("node", "id").alias("node"), "weight", "bands"))
 
-    every = signed.where("id = node").select("node", "weight", F.explode("bands").alias("bucket")).distinct()
+    every = signed.where("id = node").select("node", "weight", "bands").distinct().withColumn("bucket", F.explode("bands"))
     shared = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = materialize(every.join(shared, "bucket"))
-    wanted = members.select("node").distinct()
-    found = materialize(bags(df.select(key, text).join(wanted.withColumnRenamed("node", key), key, "left_semi"), key, text, shingle))
+    found = materialize(bags(df, materialize(members.select("node").distinct()), key, text, shingle))
+    members = materialize(_bounded(members, found, idf, threshold))
 
     classes, leaders = None, LEADERS
     todo = materialize(_unresolved(members, None))
     while not todo.isEmpty():
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        lead = materialize(todo.withColumn("place", order).where(F.col("place") <= leaders).drop("place"))
-        heads = lead.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("weight").alias("weight_a"))
-        near = F.least("weight", "weight_a") >= F.lit(threshold * (1 - 1e-6)) * F.greatest("weight", "weight_a")
-        pairs = heads.join(todo, "bucket").where(F.col("class_a") != F.col("class")).where(near).select("a", F.col("node").alias("b"))
+        lead = materialize(_leaders(todo, leaders))
+        heads = lead.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("weight").alias("weight_a"), F.col("shared").alias("shared_a"), F.col("bands").alias("bands_a"))
+        # Similarity is at most what two nodes can share over what is left of both weights.
+        most = F.least("shared", "shared_a", "weight", "weight_a")
+        near = most >= F.lit(threshold / (1 + threshold) * (1 - 1e-6)) * (F.col("weight") + F.col("weight_a"))
+        # Of two leaders of a bucket, the one with the smaller id is the head.
+        marked = todo.join(lead.select("bucket", "node", F.lit(True).alias("leads")), ["bucket", "node"], "left")
+        other = (F.col("class_a") != F.col("class")) & (F.col("leads").isNull() | (F.col("a") < F.col("node")))
+        # Two nodes may share many buckets; the first of these is theirs.
+        own = F.col("bucket") == F.element_at(F.array_intersect("bands", "bands_a"), 1)
+        pairs = heads.join(marked, "bucket").where(other & near & own).select("a", F.col("node").alias("b"))
         links = verified(materialize(pairs.distinct()), found, idf, threshold)
         if classes is not None:
             links = links.unionByName(classes.select(F.col("node").alias("u"), F.col("class").alias("v")))
@@ -227,6 +289,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         rest = todo.drop("class").join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti")
         todo = materialize(_unresolved(rest, classes))
         leaders *= 8
-    if classes is None:
-        return signed.select("id", F.col("node").alias("class_id"))
-    return signed.join(classes, "node", "left").select("id", F.coalesce("class", "node").alias("class_id"))
+    own = signed.withColumn("class", F.col("node")) if classes is None else signed.join(classes, "node", "left")
+    return own.select("id", F.when(F.col("id").isNotNull(), F.coalesce("class", "node")).alias("class_id"))
