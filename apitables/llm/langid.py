@@ -98,15 +98,16 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
+    read = f"kept_{text}" if text in keep else "text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         vocab, languages = cached(model.vocab), model.languages
-        for part in slices(batches, "text"):
+        for part in slices(batches, read):
             letters = part.column("letters").to_numpy(zero_copy_only=False)
             names, scores = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
             if languages:
-                tokens = pre_tokens(part.column("text"))
+                tokens = pre_tokens(part.column(read))
                 trie = Trie(tokens.distinct, vocab)
                 own = trie.forward(trie.scores(model.log_p, vocab.byte))[:, trie.terminal]
                 total = sums(own[:, tokens.which], tokens.first)
@@ -119,5 +120,6 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     kept = "".join(f"`{name}` {df.schema[name].dataType.simpleString()}, " for name in keep)
     along = [F.col(name).alias(f"kept_{name}") for name in keep]
-    rows = df.select(*along, F.col(key).alias("id"), F.col(text).alias("text"), has_letter(text).alias("letters"))
+    own = [] if text in keep else [F.col(text).alias("text")]
+    rows = df.select(*along, F.col(key).alias("id"), *own, has_letter(text).alias("letters"))
     return rows.mapInArrow(score, f"{kept}id {kind}, lang_pred string, score double")
