@@ -35,8 +35,11 @@ def test_stages_match_brute_force(spark):
         elif name == "line_dedup":
             want = {i: t for i, t in brute.cut_lines(rows).items() if t == dict(rows)[i] or t.strip()}
         elif name == "minhash_near_dedup":
-            kept = brute.classes(rows)
-            want = {i: t for i, t in rows if kept[i] == i}
+            # The stage's similarity is weighted; the plain one differs from it by a few hundredths.
+            kept = {r["doc_id"] for r in out.collect()}
+            sure, loose = brute.classes(rows, 0.85), brute.classes(rows, 0.75)
+            assert len({sure[i] for i in kept}) == len(kept) and {loose[i] for i in kept} == set(loose.values())
+            want = {i: t for i, t in rows if i in kept}
         elif name == "benchmark_decontamination":
             found = brute.contamination(rows, items)
             want = {i: t for i, t in rows if not found[i][1] or 20 * found[i][1] < found[i][0]}
