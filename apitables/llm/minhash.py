@@ -1,8 +1,10 @@
-"""MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
+"""MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by Jaccard similarity.
 
 A text is the weighted set of its five-word shingles. A shingle weighs (1 + ln tf) * idf, where idf runs from 1 (in
 every document) to 2 (in none); document frequencies are counted over all documents in 2**SLOTS_LOG2 hashed slots, so
 the table that every task holds has a fixed size. Texts of fewer than five words have one shingle, of all their words.
+A candidate is a link if its weighted or its plain Jaccard similarity reaches the threshold: idf lowers the weighted one
+of edited copies in large groups, whose common shingles weigh less than the edits.
 
 Rows with the same text are one node. Nodes that share a band meet in a bucket. A bucket is worked off in rounds: its
 first nodes are compared with all its members of other classes, then they leave it; the classes are merged, and
@@ -98,7 +100,7 @@ def inverse_frequencies(df: DataFrame, text: str, shingle: int = SHINGLE) -> np.
 
 
 def signatures(df: DataFrame, key: str, text: str, idf, shingle: int = SHINGLE) -> DataFrame:
-    """id, hash of the text in two halves, total weight, band hashes; without words: no bands; null text: null halves."""
+    """id, hash of the text in two halves, total weight and number of distinct shingles, band hashes; without words: no bands; null text: null halves."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -111,20 +113,20 @@ def signatures(df: DataFrame, key: str, text: str, idf, shingle: int = SHINGLE)
             ids = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
             halves = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
             filled = np.flatnonzero(np.diff(at))
-            samples, weight = np.zeros((len(filled), BANDS, ROWS), np.uint64), np.zeros(part.num_rows, np.float64)
+            samples, weight, size = np.zeros((len(filled), BANDS, ROWS), np.uint64), np.zeros(part.num_rows, np.float64), np.zeros(part.num_rows, np.int64)
             for i, d in enumerate(filled.tolist()):
                 u, _, w = bag(hashes[at[d] : at[d + 1]], table)
                 samples[i] = sample(u, np.log(w)).reshape(BANDS, ROWS)
-                weight[d] = w.sum(dtype=np.float64)
+                weight[d], size[d] = w.sum(dtype=np.float64), len(u)
             band = np.broadcast_to(tag, samples.shape[:2])
             for j in range(ROWS):
                 band = mix(band * np.uint64(31) + samples[:, :, j])
             ends = np.zeros(part.num_rows + 1, np.int32)
             ends[1:][filled] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(band.reshape(-1).view(np.int64)))
-            yield pa.record_batch({"id": part.column(key).cast(pa.int64()), "h1": pa.array(halves[:, 0], mask=null), "h2": pa.array(halves[:, 1], mask=null), "weight": pa.array(weight), "bands": bands})
+            yield pa.record_batch({"id": part.column(key).cast(pa.int64()), "h1": pa.array(halves[:, 0], mask=null), "h2": pa.array(halves[:, 1], mask=null), "weight": pa.array(weight), "size": pa.array(size), "bands": bands})
 
-    return df.select(key, text).mapInArrow(sign, "id bigint, h1 bigint, h2 bigint, weight double, bands array<bigint>")
+    return df.select(key, text).mapInArrow(sign, "id bigint, h1 bigint, h2 bigint, weight double, size bigint, bands array<bigint>")
 
 
 def bags(df: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
@@ -152,10 +154,11 @@ def bags(df: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int = S
 
 
 def _bounded(members: DataFrame, found: DataFrame, idf, threshold: float) -> DataFrame:
-    """`members` with `shared`, the weight that a node can have in common with another member of its bucket at most.
+    """`members` with `shared` and `common`, the weight and the number of shingles that a node can have in common with
+    another member of its bucket at most.
 
-    In large buckets it leaves out the shingles that no other node of the large buckets has; nodes that keep less than
-    the threshold's share go. So pairs of far variants of one text, which are many and in vain, are not compared.
+    In large buckets they leave out the shingles that no other node of the large buckets has; nodes that keep less than
+    the threshold's share of both go. So pairs of far variants of one text, which are many and in vain, are not compared.
     """
     large = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket")
     inside = materialize(members.join(large, "bucket"))
@@ -177,26 +180,31 @@ def _bounded(members: DataFrame, found: DataFrame, idf, threshold: float) -> Dat
 
     one = found.join(nodes, "node", "left_semi").mapInArrow(items, "item int, n bigint, node bigint, share double").groupBy("item")
     own = one.agg(F.sum("n").alias("n"), F.min("node").alias("node"), F.min("share").alias("share")).where("n = 1")
-    alone = own.groupBy("node").agg(F.sum("share").alias("share"))
-    left = F.lit(1.0) - F.coalesce("share", F.lit(0.0))
-    kept = inside.join(alone, "node", "left").where(left >= threshold * (1 - 1e-6)).select("bucket", "node", "weight", "bands", (left * F.col("weight")).alias("shared"))
-    return members.join(large, "bucket", "left_anti").select("bucket", "node", "weight", "bands", F.col("weight").alias("shared")).unionByName(kept)
+    alone = own.groupBy("node").agg(F.sum("share").alias("share"), F.count("*").alias("own"))
+    left, common = F.lit(1.0) - F.coalesce("share", F.lit(0.0)), F.col("size") - F.coalesce("own", F.lit(0))
+    least = threshold * (1 - 1e-6)
+    kept = inside.join(alone, "node", "left").where((left >= least) | (common >= least * F.col("size"))).select("bucket", "node", "weight", "size", "bands", (left * F.col("weight")).alias("shared"), common.alias("common"))
+    return members.join(large, "bucket", "left_anti").select("bucket", "node", "weight", "size", "bands", F.col("weight").alias("shared"), F.col("size").alias("common")).unionByName(kept)
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of lesser weights over sum of greater ones; each side is (sorted distinct items, weights)."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The greater of weighted and plain Jaccard similarity; each side is (sorted distinct items, weights).
+
+    The weighted one is the sum of lesser weights over the sum of greater ones.
+    """
     if len(a[0]) > len(b[0]):
         a, b = b, a
     if not len(a[0]):
         return 0.0
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     same = b[0][at] == a[0]
+    n = int(same.sum())
     common = np.minimum(a[1][same], b[1][at[same]]).sum(dtype=np.float64)
-    return float(common / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - common))
+    return max(float(common / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - common)), n / (len(a[0]) + len(b[0]) - n))
 
 
 def verified(pairs: DataFrame, found: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold, as links (u, v).
+    """The pairs (a, b) whose weighted or plain Jaccard similarity reaches the threshold, as links (u, v).
 
     A leader's members are dealt over chunks of some CHUNK rows, and its own bag is sent to each chunk once; a task
     streams over them in order and holds one leader at a time.
@@ -223,7 +231,7 @@ def verified(pairs: DataFrame, found: DataFrame, idf, threshold: float) -> DataF
                 bag_ = side(columns[3][i].as_buffer(), columns[4][i].as_buffer())
                 if b is None:
                     head = a, bag_
-                elif head and head[0] == a and weighted_jaccard(head[1], bag_) >= threshold:
+                elif head and head[0] == a and similarity(head[1], bag_) >= threshold:
                     left.append(a)
                     right.append(b)
             yield pa.record_batch({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
@@ -260,9 +268,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     idf = spark.sparkContext.broadcast(inverse_frequencies(df, text, shingle))
     signed = materialize(signatures(df, key, text, idf, shingle))
     nodes = signed.where("id IS NOT NULL AND h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("node"))
-    signed = materialize(signed.join(nodes, ["h1", "h2"], "left").select("id", F.coalesce("node", "id").alias("node"), "weight", "bands"))
+    signed = materialize(signed.join(nodes, ["h1", "h2"], "left").select("id", F.coalesce("node", "id").alias("node"), "weight", "size", "bands"))
 
-    every = signed.where("id = node").select("node", "weight", "bands").distinct().withColumn("bucket", F.explode("bands"))
+    every = signed.where("id = node").select("node", "weight", "size", "bands").distinct().withColumn("bucket", F.explode("bands"))
     shared = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = materialize(every.join(shared, "bucket"))
     found = materialize(bags(df, materialize(members.select("node").distinct()), key, text, shingle))
@@ -272,10 +280,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     todo = materialize(_unresolved(members, None))
     while not todo.isEmpty():
         lead = materialize(_leaders(todo, leaders))
-        heads = lead.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("weight").alias("weight_a"), F.col("shared").alias("shared_a"), F.col("bands").alias("bands_a"))
-        # Similarity is at most what two nodes can share over what is left of both weights.
-        most = F.least("shared", "shared_a", "weight", "weight_a")
-        near = most >= F.lit(threshold / (1 + threshold) * (1 - 1e-6)) * (F.col("weight") + F.col("weight_a"))
+        heads = lead.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("weight").alias("weight_a"), F.col("shared").alias("shared_a"), F.col("size").alias("size_a"), F.col("common").alias("common_a"), F.col("bands").alias("bands_a"))
+        # Similarity is at most what two nodes can share over what is left of both weights, or of both sets.
+        least = F.lit(threshold / (1 + threshold) * (1 - 1e-6))
+        near = F.least("shared", "shared_a", "weight", "weight_a") >= least * (F.col("weight") + F.col("weight_a"))
+        near |= F.least("common", "common_a", "size", "size_a") >= least * (F.col("size") + F.col("size_a"))
         # Of two leaders of a bucket, the one with the smaller id is the head.
         marked = todo.join(lead.select("bucket", "node", F.lit(True).alias("leads")), ["bucket", "node"], "left")
         other = (F.col("class_a") != F.col("class")) & (F.col("leads").isNull() | (F.col("a") < F.col("node")))

@@ -48,6 +48,28 @@ def test_classes_match_brute_force(spark, monkeypatch, hot):
         assert strict[i] == strict[c]
 
 
+@pytest.mark.parametrize("hot", [4, 10**9])
+def test_edited_copies_in_a_large_group(spark, monkeypatch, hot):
+    """A third of the rows belong to one group; its edited copies have a plain similarity of 0.80 to 0.88 to the rest."""
+    monkeypatch.setattr(minhash, "HOT", hot)
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    base = rng.choices(vocabulary, k=300)
+    texts = [" ".join(base)] * 60
+    for n in [4, 4, 5, 5, 6, 6] * 7:
+        near = list(base)
+        for at in rng.sample(range(10, 290, 10), n):
+            near[at] = rng.choice(vocabulary)
+        texts.append(" ".join(near))
+    texts += [" ".join(rng.choices(vocabulary, k=300)) for _ in range(204)]
+    rows = list(enumerate(texts))
+    sets = [brute.shingles(t) for t in texts]
+    weak = [i for i in range(60, 102) if 0.8 <= len(sets[i] & sets[0]) / len(sets[i] | sets[0]) <= 0.88]
+    assert len(weak) >= 12
+    got = dict(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute.classes(rows)
+
+
 def test_samples_agree_as_often_as_weights():
     rng = np.random.default_rng(1)
     rates = []
