@@ -133,7 +133,7 @@ def bags(df: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int = S
     """node, and its distinct shingles (low 32 bits) with counts as packed arrays, of the nodes in `wanted`.
 
     A bit set of fixed size over hashes of the wanted nodes lets a task skip nearly all other documents before they are
-    shuffled; the join decides.
+    shuffled; the join decides. Repeated rows of one node and text give one row.
     """
     slot = F.pmod(F.xxhash64("node"), F.lit(1 << SIEVE_LOG2))
     bits = wanted.select(slot.alias("slot")).groupBy(F.expr("shiftright(slot, 6)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
@@ -142,15 +142,24 @@ def bags(df: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int = S
     sent = df.sparkSession.sparkContext.broadcast(sieve)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for part in slices(batches, text):
             at = part.column("slot").to_numpy()
             part = part.filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
+            known = len(seen)
+            data, offsets = utf8(part.column(text))
+            raw, fresh = data.tobytes(), []
+            for node, a, b in zip(part.column(key).to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+                seen.add((node, xxhash.xxh3_64_intdigest(raw[a:b])))
+                fresh.append(len(seen) > known)
+                known = len(seen)
+            part = part.filter(pa.array(fresh, pa.bool_()))
             hashes, at = shingles(*words(part.column(text)), shingle)
             sets = [np.unique((hashes[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True) for a, b in zip(at, at[1:])]
             yield pa.record_batch({"node": part.column(key).cast(pa.int64()), "items": pa.array([u.tobytes() for u, _ in sets], pa.binary()), "counts": pa.array([n.astype(np.uint32).tobytes() for _, n in sets], pa.binary())})
 
     rows = df.where(F.col(key).isNotNull()).select(key, text, F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(1 << SIEVE_LOG2)).alias("slot"))
-    return rows.mapInArrow(pack, "node bigint, items binary, counts binary").join(wanted, "node", "left_semi")
+    return rows.mapInArrow(pack, "node bigint, items binary, counts binary").join(wanted, "node", "left_semi").distinct()
 
 
 def _bounded(members: DataFrame, found: DataFrame, idf, threshold: float) -> DataFrame:

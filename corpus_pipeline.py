@@ -49,9 +49,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one with the least id, and all without an id."""
-    kept = minhash.near_duplicates(docs).where("id = class_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each near-duplicate class of texts stays: the one with the least id, then with the least hash of the row.
+
+    Rows are told apart by all their columns, not by their ids, so a repeated id loses no text. Rows without an id are
+    compared like others, and come after those with an id. Rows without a text all stay.
+    """
+    plain, key, text = _numbered(docs)
+    rest = [c for c in plain.columns if c not in (key, text)]
+    keyed = plain.withColumn("row_key", F.xxhash64(key, text, F.to_json(F.struct(*rest)) if rest else F.lit(0))).where(F.col(text).isNotNull())
+    classes = minhash.near_duplicates(keyed, "row_key", text).distinct().withColumnRenamed("id", "row_key")
+    ids = keyed.select("row_key", key).distinct()
+    order = F.struct(F.col(key).isNull(), key, "row_key")
+    kept = classes.join(ids, "row_key").groupBy("class_id").agg(F.min(order).alias("first")).select("first.row_key")
+    # Rows that are equal in full become one in each task, before the join brings them together.
+    chosen = keyed.dropDuplicates(["row_key"]).join(kept, "row_key", "left_semi")
+    return _named(chosen, docs).unionByName(docs.where("text IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -60,3 +61,16 @@ def test_stages_handle_odd_rows(spark):
             assert docs.columns == columns
         got = sorted((r["doc_id"] or -1) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect())
         assert got == ([] if empty else [-1, 1, 4, 5])
+
+
+def test_near_dedup_decides_by_row(spark):
+    rng = random.Random(4)
+    text = [" ".join(rng.choices([f"w{i}" for i in range(2000)], k=60)) for _ in range(12)]
+    near = " ".join(text[3].split()[:59])
+    rows = [(3, text[3], "a"), (7, text[0], "a"), (7, near, "a"), (None, text[3], "a"), (None, text[1], "a"), (None, text[1], "b"), (5, text[2], "b"), (None, text[2], "a"), (8, None, "a"), (None, None, "a")]
+    rows += [(7, t, "a") for t in text[4:]] + [(9, text[11], "a")] + [(7, text[5], "a")] * 5
+    want = [(3, text[3]), (7, text[0]), (None, text[1]), (5, text[2]), (8, None), (None, None)] + [(7, t) for t in text[4:]]
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string").repartition(parts)
+        got = corpus_pipeline.near_dedup(spark, docs, SF)
+        assert got.columns == docs.columns and sorted((tuple(r)[:2] for r in got.collect()), key=repr) == sorted(want, key=repr)
