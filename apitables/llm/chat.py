@@ -55,19 +55,30 @@ class Mapping:
             needed, own = set(), {self.role, self.text}
         return needed <= paths and not (paths - own - self.ignore)
 
+    def readable(self, record: dict) -> bool:
+        """Whether the list of a fitting record is a list of objects, which paths do not tell."""
+        return not self.each or isinstance(record[self.each], list) and all(isinstance(x, dict) for x in record[self.each])
+
     def turns(self, record: dict) -> list[tuple[str, str]]:
         if self.each:
-            listed = record[self.each] if isinstance(record[self.each], list) else []
-            return [(_text(x.get(self.role)), _text(x.get(self.text))) for x in listed if isinstance(x, dict)]
+            return [(_text(x.get(self.role)), _text(x.get(self.text))) for x in record[self.each]]
         if self.fields:
             return [(role, _text(record[f])) for role, f in self.fields if record.get(f) is not None]
         return [(_text(record.get(self.role)), _text(record.get(self.text)))]
 
 
+_IDS = ("id", "conversation_id", "conv_id")
+
+
+def _besides(each: str) -> frozenset[str]:
+    """What a list layout may hold besides: ids of the record, ids and names of its elements."""
+    return frozenset({*_IDS, f"{each}[].id", f"{each}[].name"})
+
+
 #: Tried in this order for a fingerprint that was not met before. Names of roles are mapped by ROLES.
 MAPPINGS = [
-    Mapping("messages", each="messages", role="role", text="content"),
-    Mapping("conversations", each="conversations", role="from", text="value"),
+    Mapping("messages", each="messages", role="role", text="content", ignore=_besides("messages")),
+    Mapping("conversations", each="conversations", role="from", text="value", ignore=_besides("conversations")),
     Mapping("prompt-response", fields=(("user", "prompt"), ("assistant", "response")), ignore=frozenset({"id"})),
     Mapping("prompt-completion", fields=(("user", "prompt"), ("assistant", "completion")), ignore=frozenset({"id"})),
     Mapping("instruction-output", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output")), ignore=frozenset({"id"})),
@@ -138,8 +149,8 @@ def canonical_turns(df: DataFrame, key: str = "id", order: str = "turn", record:
     """(id, turn, place, role, text, layout, fingerprint): the turns in each row's JSON record.
 
     `order` places rows of one id (a long); `place` counts the turns of a record from 0. Roles are renamed by `roles`,
-    ROLES unless given. A record that is null, no JSON object, or of a layout that no mapping fits gives one row with a
-    null layout, null place and null role. Repeated rows are repeated turns.
+    ROLES unless given. A record that is null, no JSON object, of a layout that no mapping fits, or whose list holds
+    anything but objects gives one row with a null layout, null place and null role. An empty list has no turns. Repeated rows are repeated turns.
     """
     kind = df.schema[key].dataType.simpleString()
     renamed = ROLES if roles is None else roles
@@ -161,7 +172,7 @@ def canonical_turns(df: DataFrame, key: str = "id", order: str = "turn", record:
                         if len(known) > 10_000:  # data-valued keys: start over rather than grow
                             known.clear()
                         known[mark] = next((m for m in MAPPINGS if m.fits(found)), None)
-                    mapping = known[mark]
+                    mapping = known[mark] if known[mark] and known[mark].readable(parsed) else None
                 turns = [(renamed.get(r, r), t) for r, t in mapping.turns(parsed)] if mapping else [(None, None)]
                 for n, (r, t) in enumerate(turns):
                     of.append(i)

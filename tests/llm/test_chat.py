@@ -43,6 +43,18 @@ def test_layouts(spark):
     assert len({r["fingerprint"] for r in rows if r["id"] in (4, 5)}) == 2 and not any(r["layout"] for r in rows if r["id"] > 10)
 
 
+def test_list_layouts_with_ids_and_without_objects(spark):
+    turns = [("user", "u"), ("assistant", "a")]
+    records = [
+        {"id": "x", "conversations": [{"from": "human", "value": "u"}, {"from": "gpt", "value": "a"}]},
+        {"id": 1, "messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": "a", "id": 2}]},
+        {"messages": ["u", "a"]}, {"messages": "u"}, {"conversations": [{"from": "human", "value": "u"}, "a"]},
+        {"messages": [{"role": "assistant", "content": "a", "tool_calls": "t"}]},
+    ]
+    got, rows = _turns(spark, records)
+    assert got == [turns, turns] + [[(None, None)]] * 4 and not any(r["layout"] for r in rows if r["id"] > 1)
+
+
 def test_digests_stream_long_repeated_and_nameless_conversations(spark):
     rows = [(1, 1, "assistant", "b </s>"), (1, 0, "user", "a"), (2, 0, None, None), (2, 0, None, None), (None, 0, "assistant", "x"), (3, 0, "assistant", "y" * 200000)] + [(4, i, "assistant", str(i)) for i in range(3000)]
     df = spark.createDataFrame([(i, t, json.dumps({"role": r, "text": x})) for i, t, r, x in rows], "id long, turn long, record string")
