@@ -58,3 +58,23 @@ totals AS (SELECT *, sum(n) OVER (PARTITION BY d, prefix) AS total, count(*) OVE
 shortest AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d) AS k FROM totals WHERE total <= 1048576 OR n_rows = 1)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, d AS shard_depth, CAST(prefix AS BIGINT) AS shard_prefix, CAST(0 AS BIGINT) AS shard_page FROM shortest WHERE k = 1
 """
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH doc AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+piece AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM doc, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS s(p)),
+gram AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM piece, range(1, 5) AS a(m), unnest(range(1, len(w) - m + 2)) AS b(i)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM gram GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 30),
+parts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM cand, range(1, 4) AS t(k) WHERE k < m),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, CAST((CAST(c.a AS HUGEINT) * 2000000) // (l.f + r.f) AS BIGINT) AS score
+  FROM parts AS c JOIN f AS l ON l.lang = c.lang AND l.phrase = c.lp JOIN f AS r ON r.lang = c.lang AND r.phrase = c.rp),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cut) WHERE o = 1),
+kept AS (
+  SELECT * FROM best AS b WHERE NOT EXISTS (
+    SELECT 1 FROM cand AS c WHERE c.lang = b.lang AND len(c.phrase) > len(b.phrase) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 80 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apitables.llm import ann, chat, decontam, langid, linededup, minhash, sample_encode, sharding, token_counts, toxicity
+from apitables.llm import ann, chat, collocations, decontam, langid, linededup, minhash, sample_encode, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -107,3 +107,9 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole document under the fixed vocabulary."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to four words of each language, by their weakest cut."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
