@@ -85,8 +85,9 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run.append(token)
                 if len(run) >= RUN + 3:
                     _count(run, lang, grams)
-                    pending += len(run) - 3
                     run = run[-3:]
+                    yield _flush(grams)
+                    pending = 0
             run += [None, None, None]
             _count(run, lang, grams)
             pending += len(run) - 3
