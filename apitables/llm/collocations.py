@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from apitables.session import materialize
+
 #: Words of one run before its stripes are flushed; bounds a task's memory at any text length.
 RUN = 1 << 18
 #: The stripe entry for "the prefix ends its piece".
@@ -102,15 +104,23 @@ def merged_stripes(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
     """(lang, prefix, size, next, f): the stripes of all texts merged elementwise.
 
     A stripe is exploded into its entries and summed by a hash aggregate, which merges map-side first: a prefix as
-    common as a third of all words has its stripe summed in pieces over many tasks, never gathered in one.
+    common as a third of all words has its stripe summed in pieces over many tasks, never gathered in one. Each
+    stripe adds its total under next = null (f of the prefix), and each one-word stripe its total again under the
+    empty prefix of size 0 (so that row holds n, the words of the language).
     """
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
         F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER).alias("text"),
     )
     stripes = texts.mapInArrow(_stripes, STRIPES)
-    entries = stripes.select("lang", "prefix", "size", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
-    return entries.groupBy("lang", "prefix", "size", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("f"))
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda acc, c: acc + c)
+    entry = lambda prefix, size, nxt, count: F.struct(prefix.alias("prefix"), size.alias("size"), nxt.alias("next"), count.alias("f"))
+    entries = stripes.select("lang", F.explode(F.concat(
+        F.transform(F.arrays_zip("nexts", "counts"), lambda e: entry(F.col("prefix"), F.col("size"), e["nexts"], e["counts"])),
+        F.array(entry(F.col("prefix"), F.col("size"), F.lit(None).cast("string"), total)),
+        F.when(F.col("size") == 1, F.array(entry(F.lit(""), F.lit(0), F.lit(None).cast("string"), total))).otherwise(F.array()),
+    )).alias("e")).select("lang", "e.*")
+    return entries.groupBy("lang", "prefix", "size", "next").agg(F.sum("f").alias("f"))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000, cover: int = 80) -> DataFrame:
@@ -120,14 +130,15 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     r = f(rest) and floor(2000000 * a / (l + r)), in exact decimal arithmetic; the lowest counts, ties to the smallest
     k. A candidate goes if a candidate one word longer that contains it has `cover` * a <= 100 * f; no longer
     candidate can have a larger f, since f never grows with length. Ranks: score, then a descending, then phrase in
-    UTF-8 byte order. Parts of a candidate occur at least as often as it, so only phrases of f >= `least` are
-    joined: what is joined is bounded by the number of words over `least`, whatever the corpus.
+    UTF-8 byte order. Parts of a candidate occur at least as often as it, so only phrases of f >= `least` are kept
+    after the one aggregate over all stripes; they are written once, and all later joins read them: what is joined is
+    bounded by the number of words over `least`, whatever the corpus.
     """
     merged = merged_stripes(docs, text, lang)
-    totals = merged.groupBy("lang", "prefix", "size").agg(F.sum("f").alias("f"))
-    n = totals.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    parts = totals.where(F.col("f") >= least).select("lang", F.col("prefix").alias("part"), F.col("f"))
-    candidates = merged.where((F.col("next") != END) & (F.col("f") >= least)).select(
+    frequent = materialize(merged.where((F.col("f") >= least) | (F.col("size") == 0)))
+    n = frequent.where("size = 0").select("lang", F.col("f").alias("n"))
+    parts = frequent.where(F.col("next").isNull() & (F.col("size") > 0)).select("lang", F.col("prefix").alias("part"), "f")
+    candidates = frequent.where(F.col("next").isNotNull() & (F.col("next") != END) & (F.col("size") > 0)).select(
         "lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), (F.col("size") + 1).alias("size"), F.col("f").alias("a")
     )
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).select(
