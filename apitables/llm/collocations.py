@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from apitables.llm.texts import slices
 from apitables.session import materialize
 
 #: Words of one run before its stripes are flushed; bounds a task's memory at any text length.
-RUN = 1 << 18
+RUN = 1 << 16
 #: The stripe entry for "the prefix ends its piece".
 END = ""
 TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
@@ -80,7 +81,7 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stripes of a task's texts, flushed every RUN words and at the end; a long text is read in runs."""
     grams = [Counter(), Counter(), Counter()]
     pending = 0
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             run: list = []
             for token in _tokens(text):
