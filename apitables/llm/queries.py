@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apitables.llm import ann, chat, collocations, decontam, langid, linededup, minhash, sample_encode, sharding, token_counts, toxicity
+from apitables.llm import ann, chat, collocations, decontam, langid, linededup, minhash, sample_encode, secrets, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -113,3 +113,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of two to four words of each language, by their weakest cut."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and random-string secret spans of every whole document."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
