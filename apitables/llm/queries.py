@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apitables.llm import ann, chat, collocations, decontam, langid, linededup, minhash, sample_encode, secrets, sharding, token_counts, toxicity
+from apitables.llm import ann, chat, collocations, decontam, langid, linededup, minhash, sample_encode, secrets, sharding, token_counts, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -119,3 +119,9 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and random-string secret spans of every whole document."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole, finite embedding projected on the first 32 principal components and scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
