@@ -105,9 +105,9 @@ def merged_stripes(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
     """(lang, prefix, size, next, f): the stripes of all texts merged elementwise.
 
     A stripe is exploded into its entries and summed by a hash aggregate, which merges map-side first: a prefix as
-    common as a third of all words has its stripe summed in pieces over many tasks, never gathered in one. Each
-    stripe adds its total under next = null (f of the prefix), and each one-word stripe its total again under the
-    empty prefix of size 0 (so that row holds n, the words of the language).
+    common as a third of all words has its stripe summed in pieces over many tasks, never gathered in one. A one-word
+    stripe adds its total under next = null (f of the word) and again under the empty prefix of size 0 (so that row
+    holds n, the words of the language); f of a longer prefix is an entry of the stripe one word shorter.
     """
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
@@ -118,8 +118,10 @@ def merged_stripes(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
     entry = lambda prefix, size, nxt, count: F.struct(prefix.alias("prefix"), size.alias("size"), nxt.alias("next"), count.alias("f"))
     entries = stripes.select("lang", F.explode(F.concat(
         F.transform(F.arrays_zip("nexts", "counts"), lambda e: entry(F.col("prefix"), F.col("size"), e["nexts"], e["counts"])),
-        F.array(entry(F.col("prefix"), F.col("size"), F.lit(None).cast("string"), total)),
-        F.when(F.col("size") == 1, F.array(entry(F.lit(""), F.lit(0), F.lit(None).cast("string"), total))).otherwise(F.array()),
+        F.when(F.col("size") == 1, F.array(
+            entry(F.col("prefix"), F.col("size"), F.lit(None).cast("string"), total),
+            entry(F.lit(""), F.lit(0), F.lit(None).cast("string"), total),
+        )).otherwise(F.array()),
     )).alias("e")).select("lang", "e.*")
     return entries.groupBy("lang", "prefix", "size", "next").agg(F.sum("f").alias("f"))
 
@@ -138,10 +140,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     merged = merged_stripes(docs, text, lang)
     frequent = materialize(merged.where((F.col("f") >= least) | (F.col("size") == 0)))
     n = frequent.where("size = 0").select("lang", F.col("f").alias("n"))
-    parts = frequent.where(F.col("next").isNull() & (F.col("size") > 0)).select("lang", F.col("prefix").alias("part"), "f")
     candidates = frequent.where(F.col("next").isNotNull() & (F.col("next") != END) & (F.col("size") > 0)).select(
         "lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), (F.col("size") + 1).alias("size"), F.col("f").alias("a")
     )
+    parts = frequent.where(F.col("next").isNull() & (F.col("size") == 1)).select("lang", F.col("prefix").alias("part"), "f").unionByName(
+        candidates.where("size <= 3").select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
+    )
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).select(
         "lang", "phrase", "a", "k",
         F.array_join(F.slice(F.split("phrase", " "), F.lit(1), F.col("k")), " ").alias("left"),
