@@ -38,31 +38,75 @@ def join_url(base: Column, path: Column) -> Column:
     return F.when(relative == "", base).otherwise(F.concat(slash, relative))
 
 
-# Scheme, authority and path of a URL. Split by pattern, as a URL parser refuses spaces, brackets and bars in a path.
-_URL = r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
-_HOST = r"\A(?:[^@]*@)?(\[[^\]]*\]|[^:\[\]]+)(?::([0-9]*))?\z"
-
-
-def _origin(url: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(url, _URL, 1))
-    authority = F.regexp_extract(url, _URL, 2)
-    host, port = F.lower(F.regexp_extract(authority, _HOST, 1)), F.regexp_extract(authority, _HOST, 2)
-    implied = F.lit("")
+# Schemes whose URLs have a host and read a backslash as a slash; spellings of dot segments.
+SPECIAL = ("http", "https", "ws", "wss", "ftp")
+SINGLE_DOT = (".", "%2e")
+DOUBLE_DOT = ("..", ".%2e", "%2e.", "%2e%2e")
+# Characters a host may not hold once percent-decoded.
+_FORBIDDEN_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|]"
+
+
+def _fold(path: Column) -> Column:
+    """A path with its dot segments resolved, as a URL parser does: `.` goes, `..` takes the segment before it with it;
+    either at the end leaves the path ending in a slash."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/")
+    marked = F.transform(segments, lambda seg, i: F.struct(seg.alias("s"), (i == F.size(segments) - 1).alias("last")))
+    empty = F.array().cast("array<string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        word = F.lower(x["s"])
+        shorter = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        return (
+            F.when(word.isin(*DOUBLE_DOT), F.when(x["last"], F.concat(shorter, F.array(F.lit("")))).otherwise(shorter))
+            .when(word.isin(*SINGLE_DOT), F.when(x["last"], F.concat(acc, F.array(F.lit("")))).otherwise(acc))
+            .otherwise(F.concat(acc, F.array(x["s"])))
+        )
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(marked, empty, step), "/"))
+
+
+def normalise(url: Column) -> Column:
+    """struct(scheme, host, port, path) of a URL read as a browser reads it; NULL where it has no valid host.
+
+    Leading and trailing controls and spaces go, and tabs and line breaks anywhere. In special schemes a backslash
+    before the query is a slash and any number of slashes may follow the colon. The host is what follows the last `@`
+    of the authority, percent-decoded and lower-cased; a port is read as a number, and a scheme's own port counts as
+    none. Dot segments of the path are resolved, also percent-encoded ones.
+    """
+    u = F.regexp_replace(F.regexp_replace(url, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    scheme = F.lower(F.regexp_extract(u, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    special = scheme.isin(*SPECIAL)
+    head = F.regexp_extract(u, r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:([^?#]*)", 1)
+    head = F.when(special, F.translate(head, "\\", "/")).otherwise(head)
+    after = F.when(special, F.regexp_replace(head, r"\A/*", "")).otherwise(F.regexp_extract(head, r"(?s)\A//(.*)", 1))
+    has_authority = special | head.startswith("//")
+    authority = F.regexp_extract(after, r"(?s)\A([^/]*)", 1)
+    path = F.regexp_extract(after, r"(?s)\A[^/]*(.*)", 1)
+    hostport = F.regexp_extract(authority, r"(?s)\A(?:.*@)?(.*)\z", 1)
+    shape = r"(?s)\A(\[[^\]]*\]|[^:\[\]]*)(?::([0-9]*))?\z"
+    host = F.lower(F.try_url_decode(F.replace(F.regexp_extract(hostport, shape, 1), F.lit("+"), F.lit("%2B"))))
+    port_text = F.regexp_extract(hostport, shape, 2)
+    implied = F.lit(None).cast("int")
     for name, number in DEFAULT_PORTS.items():
-        implied = F.when(scheme == name, number).otherwise(implied)
-    return F.when(host != "", F.concat_ws("|", scheme, host, F.when(port == "", implied).otherwise(port)))
+        implied = F.when(scheme == name, F.lit(int(number))).otherwise(implied)
+    port = F.when(port_text == "", implied).otherwise(port_text.cast("decimal(38,0)")).cast("decimal(38,0)")
+    port = F.when(port == implied, F.lit(None)).otherwise(port)
+    valid = (
+        has_authority & hostport.rlike(shape) & host.isNotNull() & (host != "")
+        & (host.startswith("[") | ~host.rlike(_FORBIDDEN_HOST)) & F.coalesce(port <= 65535, F.lit(True))
+    )
+    return F.when(valid, F.struct(
+        scheme.alias("scheme"), host.alias("host"), port.alias("port"),
+        _fold(F.when(path == "", F.lit("/")).otherwise(path)).alias("path"),
+    ))
 
 
 def in_scope(url: Column, base: Column) -> Column:
-    """Whether `url` keeps the origin of `base` and stays below its path.
+    """Whether `url`, once normalised, keeps the scheme, host and port of `base` and stays below its path.
 
-    URLs are compared as written, so a `..` segment, also a percent-encoded one, is out of scope.
+    A URL equal to the base is in scope; one that does not parse is not.
     """
-    below = F.regexp_extract(base, _URL, 3)
-    below = F.when(below.endswith("/"), below).otherwise(F.concat(below, F.lit("/")))
-    path = F.regexp_extract(url, _URL, 3)
-    escapes = path.rlike(r"(?i)(\A|/)(\.|%2e){2}(/|\z)")
-    same = url == base
-    return F.coalesce(
-        same | ((_origin(url) == _origin(base)) & path.startswith(below) & ~escapes),
-        F.lit(False))
+    u, b = normalise(url), normalise(base)
+    below = F.when(b["path"].endswith("/"), b["path"]).otherwise(F.concat(b["path"], F.lit("/")))
+    same = (u["scheme"] == b["scheme"]) & (u["host"] == b["host"]) & u["port"].eqNullSafe(b["port"])
+    return F.coalesce((url == base) | (same & u["path"].startswith(below)), F.lit(False))

@@ -305,6 +305,11 @@ WITH {_LINKS} SELECT page_id, place, form, CASE form WHEN 'root' THEN href = '/s
 FROM links, {_values("'below', true", "'root', false", "'base', true", "'sibling', false", "'scheme', false", "'host', false", "'port', true",
                      "'other_port', false", "'up', false", "'coded', false", "'query', true")} t(form, inside)"""
 
+ORACLES["link_scope_normalised"] = f"""
+WITH {_LINKS} SELECT page_id, place, form, CASE form WHEN 'zero_port' THEN url LIKE 'http:%' ELSE inside END AS inside
+FROM links, {_values("'userinfo', false", "'tab_up', false", "'backslash_up', false", "'inner_up', true", "'coded_single', true",
+                     "'encoded_host', true", "'backslashes', true", "'padded', true", "'zero_port', NULL")} t(form, inside)"""
+
 ORACLES["quarantine"] = """
 SELECT 'supplier-' || s_suppkey AS name, CASE s_suppkey % 8 WHEN 1 THEN 'not valid JSON'
        WHEN 2 THEN 'declared name `xsupplier-' || s_suppkey || '` does not match the file name `supplier-' || s_suppkey || '`'

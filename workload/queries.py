@@ -412,6 +412,28 @@ def link_scope(spark, sf_dir):
     return rows.select("page_id", F.col("place").cast("long").alias("place"), "form", in_scope(F.col("link"), F.col("base")).alias("inside"))
 
 
+def link_scope_normalised(spark, sf_dir):
+    """Each link of `pages` spelt in ways that only a URL parser reads right: escapes that leave the base, and
+    harmless spellings of a link below it."""
+    origin = F.regexp_extract("url", r"^(https?://[^/]*)/", 1)
+    scheme, host = F.regexp_extract("url", r"^(https?):", 1), F.regexp_extract("url", r"^https?://([^/]*)", 1)
+    base = F.concat(origin, F.lit("/shop"))
+    forms = {
+        "userinfo": F.concat(scheme, F.lit("://evil.example\\@"), host, F.lit("/shop"), F.col("href")),
+        "tab_up": F.concat(base, F.lit("/.\t."), F.col("href")),
+        "backslash_up": F.concat(base, F.lit("/x\\..\\.."), F.col("href")),
+        "inner_up": F.concat(base, F.lit("/a/.."), F.col("href")),
+        "coded_single": F.concat(base, F.lit("/%2E"), F.col("href")),
+        "encoded_host": F.concat(scheme, F.lit("://%"), F.hex(F.substring(host, 1, 1)), F.substring(host, 2, 1 << 20), F.lit("/shop"), F.col("href")),
+        "backslashes": F.concat(scheme, F.lit(":\\\\"), host, F.lit("\\shop"), F.col("href")),
+        "padded": F.concat(F.lit("  "), base, F.col("href"), F.lit("\n")),
+        "zero_port": F.concat(scheme, F.lit("://"), host, F.lit(":0080/shop"), F.col("href")),
+    }
+    pairs = [x for name, text in forms.items() for x in (F.lit(name), text)]
+    rows = _links(spark, sf_dir).select("page_id", "place", "url", base.alias("base"), F.explode(F.create_map(*pairs)).alias("form", "link"))
+    return rows.select("page_id", F.col("place").cast("long").alias("place"), "form", in_scope(F.col("link"), F.col("base")).alias("inside"))
+
+
 def echo(url, headers, timeout):
     """Stands in for the network: every third answer is an error."""
     code = int(url.rsplit("/", 1)[1])
@@ -588,7 +610,7 @@ QUERIES = {
         registry_roundtrip, registry_states,
         introspect_outcomes, carry_forward, publish_gate, publish_registry, contract_steps, source_rollup, orphan_tables,
         source_connectivity, source_listing,
-        path_violations, first_violations, url_join, link_scope, quarantine, rest_endpoints,
+        path_violations, first_violations, url_join, link_scope, link_scope_normalised, quarantine, rest_endpoints,
         ts_join_collapse, ts_relate_orphans, ts_extend, ts_split, ts_merge, enum_parse, enum_unmatched, variant_tag,
         union_conform, typed_load, typed_load_unsigned, typed_load_report, ts_load_source,
         infer_deep, flatten_deep, infer_nested_array_order,
