@@ -50,8 +50,9 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     file = Path(model).read_bytes()
     vocab = cached(file)
     rows = df.where(train & F.col(lang).isNotNull() & has_letter(text))
-    ids = rows.select(F.col(lang).cast("string").alias("kind"), F.col(key).alias("id"), F.octet_length(text).alias("size"))
-    sample = materialize(bounded(ids, rows.select(F.col(key).alias("id"), F.col(text).alias("text")), sample_docs, sample_bytes))
+    row_id = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("h1"), F.crc32(F.col(text).cast("binary")).alias("h2")).alias("id")
+    ids = rows.select(F.col(lang).cast("string").alias("kind"), row_id, F.octet_length(text).alias("size"))
+    sample = materialize(bounded(ids, rows.select(row_id, F.col(text).alias("text")), sample_docs, sample_bytes))
     languages = sorted(r[0] for r in sample.select("kind").distinct().toLocalIterator())
     log_p = np.tile(vocab.log_zipf(), (len(languages), 1))
     for _ in range(ROUNDS if languages else 0):

@@ -90,16 +90,18 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", te
     evidence: every text gets the prior, or 0 if there is no label at all.
     """
     rows = df.where(learn & F.col(key).isNotNull())
-    ids = rows.select(F.col(key).alias("id"), F.octet_length(text).alias("size"))
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
-    marked = materialize(ids.join(known, "id", "left"))
+    # A row is told apart by its key and a hash of its text, so that rows sharing a key are sampled one by one.
+    row_id = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("h1"), F.crc32(F.col(text).cast("binary")).alias("h2")).alias("id")
+    ids = rows.select(F.col(key).alias("key"), row_id, F.octet_length(text).alias("size"))
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
+    marked = materialize(ids.join(known, "key", "left"))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).toLocalIterator()}
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     prior = toxic / max(1, toxic + clean)
     empty = Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     if not toxic:
         return empty
-    texts = rows.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    texts = rows.select(row_id, F.col(text).alias("text"))
     positive = bounded(marked.where("toxic = 1").select(F.lit(1).alias("kind"), "id", "size"), texts, POSITIVES, SAMPLE_BYTES)
     unlabelled = bounded(marked.select(F.lit(0).alias("kind"), "id", "size"), texts, UNLABELLED, SAMPLE_BYTES)
     sample = materialize(positive.unionByName(unlabelled))
