@@ -20,8 +20,9 @@ matches, so that no string that could be scored is learnt as ordinary; each samp
 strings, chosen by hash, so the fitted tables (4,422 numbers each) are bounded whatever the corpus.
 
 Spans are ``kind:start:end`` in code points, end exclusive, ordered by start, then kind (assign, access, hex, random).
-A text's spans are found from the lengths of the pieces between matches, summed along the text by a window per row;
-only lengths and the scores of candidates leave the scan, never texts. Repeated rows are scanned as often as they
+A text's spans are found from the lengths of the pieces between matches, summed along the text by a window per row.
+Each pattern runs over a text once: the pieces' lengths and matches, never the texts, are written to the shared
+folder, and the random-string sample and the scores are taken from them. Repeated rows are scanned as often as they
 occur; an empty table gives no rows; a null key stays null.
 """
 
@@ -32,6 +33,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from apitables.session import materialize
+
 # Fixed values of the contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -51,24 +54,24 @@ def _pairs(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substring(marked, i, 2))
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = 100_000) -> Column:
-    """The log-likelihood ratio of each character pair, as a map literal of 67 x 66 entries.
-
-    Both samples are distinct strings with the smallest hashes: the share to keep is set from an approximate count
-    of distinct strings, then at most `sample` are taken, so no step gathers more than about `sample` rows.
-    """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    values = docs.select(
-        F.concat(
-            F.filter(F.regexp_extract_all(t, F.lit(ASSIGN), 2), lambda v: F.length(v) >= ASSIGN_LEAST),
-            F.regexp_extract_all(t, F.lit(ACCESS), 0),
-            F.regexp_extract_all(t, F.lit(HEX), 0),
-        ).alias("random"),
-        F.regexp_extract_all(F.regexp_replace(t, "|".join((ASSIGN, ACCESS, HEX)), " "), F.lit(IDENTIFIER), 0).alias("plain"),
+def _base_values(pieces: Column) -> Column:
+    """The strings that the random-string model learns from: group 2 of valid assignments, access keys and hex runs."""
+    valid = F.filter(pieces, lambda p: p["valid"] & (p["kind"] < 3))
+    return F.transform(
+        valid, lambda p: F.when(p["kind"] == 0, F.regexp_extract(p["m"], ASSIGN, 2)).otherwise(p["m"])
     )
+
+
+def _plain_values(t: Column) -> Column:
+    """Words and identifiers of 4 to 15 characters outside base matches."""
+    return F.regexp_extract_all(F.regexp_replace(t, "|".join((ASSIGN, ACCESS, HEX)), " "), F.lit(IDENTIFIER), 0)
+
+
+def _weights(random: DataFrame, plain: DataFrame, sample: int) -> Column:
+    """The log-likelihood ratio of each character pair from two one-column (`s`) frames of strings."""
     counts = None
-    for label in ("random", "plain"):
-        strings = values.select(F.explode(label).alias("s")).select("s", F.xxhash64("s").alias("h"))
+    for label, values in (("random", random), ("plain", plain)):
+        strings = values.select("s", F.xxhash64("s").alias("h"))
         total = strings.agg(F.approx_count_distinct("s").alias("n")).first()["n"] or 0
         share = min(1.0, 2.0 * sample / total) if total else 1.0
         cut = min(2**63 - 1, -(2**63) + int(share * 2.0**64))
@@ -86,42 +89,58 @@ def fit(docs: DataFrame, text: str = "text", sample: int = 100_000) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.lit(w) for w in weights)))
 
 
-def _pieces(t: Column, pattern: str, kind: int, valid, score=None) -> Column:
-    """Per match of `pattern`: the length of the piece before it, its own length, whether it counts and its score;
-    then one entry for the piece after the last match."""
-    parts = F.split(t, pattern, -1)
+def fit(docs: DataFrame, text: str = "text", sample: int = 100_000) -> Column:
+    """The log-likelihood ratio of each character pair, as a map literal of 67 x 66 entries.
+
+    Both samples are distinct strings with the smallest hashes: the share to keep is set from an approximate count
+    of distinct strings, then at most `sample` are taken, so no step gathers more than about `sample` rows.
+    """
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    base = F.concat(_pieces(t, ASSIGN, 0), _pieces(t, ACCESS, 1), _pieces(t, HEX, 2))
+    random = docs.select(F.explode(_base_values(base)).alias("s"))
+    plain = docs.select(F.explode(_plain_values(t)).alias("s"))
+    return _weights(random, plain, sample)
+
+
+def _pieces(t: Column, pattern: str, kind: int) -> Column:
+    """Per match of `pattern`: the length of the piece before it, the match and whether it counts; then one entry
+    for the piece after the last match. The split and the matches are zipped first, so that each pattern runs over
+    the text twice per row, not once per match."""
     found = F.regexp_extract_all(t, F.lit(pattern), 0)
-    ok = valid(F.lit(pattern)) if valid else F.transform(found, lambda m: F.lit(True))
-    scores = score(found) if score is not None else F.transform(found, lambda m: F.lit(None).cast("double"))
+    zipped = F.arrays_zip(F.split(t, pattern, -1).alias("p"), found.alias("m"))
+    ok = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST if kind == 0 else F.lit(True)
     return F.transform(
-        parts,
-        lambda p, i: F.struct(
+        zipped,
+        lambda z, i: F.struct(
             F.lit(kind).alias("kind"),
             i.alias("i"),
-            F.length(p).alias("before"),
-            F.coalesce(F.length(F.get(found, i)), F.lit(0)).alias("size"),
-            F.coalesce(F.get(ok, i), F.lit(False)).alias("valid"),
-            F.get(scores, i).alias("score"),
+            F.length(z["p"]).alias("before"),
+            F.coalesce(F.length(z["m"]), F.lit(0)).alias("size"),
+            F.coalesce(z["m"].isNotNull() & ok(z["m"]), F.lit(False)).alias("valid"),
+            z["m"].alias("m"),
         ),
     )
 
 
+def _scan(t: Column) -> Column:
+    """The pieces of all four patterns, base kinds first."""
+    return F.concat(_pieces(t, ASSIGN, 0), _pieces(t, ACCESS, 1), _pieces(t, HEX, 2), _pieces(t, CANDIDATE, 3))
+
+
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 1.5, sample: int = 100_000) -> DataFrame:
     """Per row: key, n_assign, n_access, n_hex, base_sha256 (of the base spans joined by commas), spans (all of them)."""
-    weights = fit(docs, text, sample)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    llr = lambda found: F.transform(
-        found, lambda m: F.aggregate(_pairs(m), F.lit(0.0), lambda acc, p: acc + F.element_at(weights, p)) / F.length(m)
-    )
-    assign_ok = lambda pattern: F.transform(F.regexp_extract_all(t, pattern, 2), lambda v: F.length(v) >= ASSIGN_LEAST)
     row = "__row"
-    rows = docs.select(F.monotonically_increasing_id().alias(row), F.col(key).alias("key"), F.length(t).alias("n_chars"), F.concat(
-        _pieces(t, ASSIGN, 0, assign_ok),
-        _pieces(t, ACCESS, 1, None),
-        _pieces(t, HEX, 2, None),
-        _pieces(t, CANDIDATE, 3, None, llr),
-    ).alias("pieces"))
+    # Each pattern runs over the text once here; later steps read the written pieces, never the text again.
+    rows = materialize(
+        docs.select(F.monotonically_increasing_id().alias(row), F.col(key).alias("key"), F.length(t).alias("n_chars"),
+                    _scan(t).alias("pieces"))
+    )
+    weights = _weights(rows.select(F.explode(_base_values(F.col("pieces"))).alias("s")),
+                       docs.select(F.explode(_plain_values(t)).alias("s")), sample)
+    llr = lambda m: F.aggregate(_pairs(m), F.lit(0.0), lambda acc, p: acc + F.element_at(weights, p)) / F.length(m)
     flat = rows.select(row, "key", "n_chars", F.explode("pieces").alias("p")).select(row, "key", "n_chars", "p.*")
+    flat = flat.withColumn("score", F.when((F.col("kind") == 3) & (F.col("size") > 0), llr(F.col("m"))))
     # Each kind's pieces and matches add up to the whole text, so a running sum over all kinds in order, less the
     # lengths of the kinds before, is the start of a match.
     along = Window.partitionBy(row).orderBy("kind", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
