@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,10 +44,19 @@ def join_url(base: Column, path: Column) -> Column:
 SPECIAL = ("http", "https", "ws", "wss", "ftp")
 SINGLE_DOT = (".", "%2e")
 DOUBLE_DOT = ("..", ".%2e", "%2e.", "%2e%2e")
+# What every dot segment begins with, after its slash; a path without it has none.
+_MAYBE_DOTS = r"/(?:\.|%2[eE])"
+# Host, in brackets or not, and port.
+_HOST_PORT = r"(?s)\A(\[[^\]]*\]|[^:\[\]]*)(?::([0-9]*))?\z"
 # Characters a host may not hold once percent-decoded.
 _FORBIDDEN_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|]"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is evaluated once however often `body` reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _fold(path: Column) -> Column:
     """A path with its dot segments resolved, as a URL parser does: `.` goes, `..` takes the segment before it with it;
     either at the end leaves the path ending in a slash."""
@@ -62,7 +73,8 @@ def _fold(path: Column) -> Column:
             .otherwise(F.concat(acc, F.array(x["s"])))
         )
 
-    return F.concat(F.lit("/"), F.array_join(F.aggregate(marked, empty, step), "/"))
+    folded = F.concat(F.lit("/"), F.array_join(F.aggregate(marked, empty, step), "/"))
+    return F.when(path.rlike(_MAYBE_DOTS), folded).otherwise(path)
 
 
 def normalise(url: Column) -> Column:
@@ -74,31 +86,48 @@ def normalise(url: Column) -> Column:
     none. Dot segments of the path are resolved, also percent-encoded ones.
     """
     u = F.regexp_replace(F.regexp_replace(url, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
-    scheme = F.lower(F.regexp_extract(u, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    special = scheme.isin(*SPECIAL)
-    head = F.regexp_extract(u, r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:([^?#]*)", 1)
-    head = F.when(special, F.translate(head, "\\", "/")).otherwise(head)
-    after = F.when(special, F.regexp_replace(head, r"\A/*", "")).otherwise(F.regexp_extract(head, r"(?s)\A//(.*)", 1))
-    has_authority = special | head.startswith("//")
-    authority = F.regexp_extract(after, r"(?s)\A([^/]*)", 1)
-    path = F.regexp_extract(after, r"(?s)\A[^/]*(.*)", 1)
-    hostport = F.regexp_extract(authority, r"(?s)\A(?:.*@)?(.*)\z", 1)
-    shape = r"(?s)\A(\[[^\]]*\]|[^:\[\]]*)(?::([0-9]*))?\z"
-    host = F.lower(F.try_url_decode(F.replace(F.regexp_extract(hostport, shape, 1), F.lit("+"), F.lit("%2B"))))
-    port_text = F.regexp_extract(hostport, shape, 2)
-    implied = F.lit(None).cast("int")
-    for name, number in DEFAULT_PORTS.items():
-        implied = F.when(scheme == name, F.lit(int(number))).otherwise(implied)
-    port = F.when(port_text == "", implied).otherwise(port_text.cast("decimal(38,0)")).cast("decimal(38,0)")
-    port = F.when(port == implied, F.lit(None)).otherwise(port)
-    valid = (
-        has_authority & hostport.rlike(shape) & host.isNotNull() & (host != "")
-        & (host.startswith("[") | ~host.rlike(_FORBIDDEN_HOST)) & F.coalesce(port <= 65535, F.lit(True))
-    )
-    return F.when(valid, F.struct(
-        scheme.alias("scheme"), host.alias("host"), port.alias("port"),
-        _fold(F.when(path == "", F.lit("/")).otherwise(path)).alias("path"),
-    ))
+
+    def split(u: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(u, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        head = F.regexp_extract(u, r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:([^?#]*)", 1)
+        return _let(F.struct(scheme.alias("scheme"), scheme.isin(*SPECIAL).alias("special"), head.alias("head")), slashed)
+
+    def slashed(x: Column) -> Column:
+        head = F.when(x["special"], F.translate(x["head"], "\\", "/")).otherwise(x["head"])
+        after = F.when(x["special"], F.regexp_replace(head, r"\A/*", "")).otherwise(F.regexp_extract(head, r"(?s)\A//(.*)", 1))
+        has_authority = x["special"] | head.startswith("//")
+        return _let(F.struct(x["scheme"].alias("scheme"), has_authority.alias("has_authority"), after.alias("after")), located)
+
+    def located(x: Column) -> Column:
+        authority = F.regexp_extract(x["after"], r"(?s)\A([^/]*)", 1)
+        path = F.regexp_extract(x["after"], r"(?s)\A[^/]*(.*)", 1)
+        hostport = F.regexp_extract(authority, r"(?s)\A(?:.*@)?(.*)\z", 1)
+        return _let(F.struct(x["scheme"].alias("scheme"), x["has_authority"].alias("has_authority"),
+                             hostport.alias("hostport"), path.alias("path")), hosted)
+
+    def hosted(x: Column) -> Column:
+        host = F.lower(F.try_url_decode(F.replace(F.regexp_extract(x["hostport"], _HOST_PORT, 1), F.lit("+"), F.lit("%2B"))))
+        implied = F.lit(None).cast("int")
+        for name, number in DEFAULT_PORTS.items():
+            implied = F.when(x["scheme"] == name, F.lit(int(number))).otherwise(implied)
+        port = _let(F.regexp_extract(x["hostport"], _HOST_PORT, 2), lambda text: F.when(text == "", implied).otherwise(
+            text.cast("decimal(38,0)")).cast("decimal(38,0)"))
+        port = _let(port, lambda number: F.when(number == implied, F.lit(None)).otherwise(number))
+        fits = x["has_authority"] & x["hostport"].rlike(_HOST_PORT)
+        return _let(F.struct(x["scheme"].alias("scheme"), fits.alias("fits"), host.alias("host"), port.alias("port"), x["path"].alias("path")), judged)
+
+    def judged(x: Column) -> Column:
+        host, port, path = x["host"], x["port"], x["path"]
+        valid = (
+            x["fits"] & host.isNotNull() & (host != "")
+            & (host.startswith("[") | ~host.rlike(_FORBIDDEN_HOST)) & F.coalesce(port <= 65535, F.lit(True))
+        )
+        return F.when(valid, F.struct(
+            x["scheme"].alias("scheme"), host.alias("host"), port.alias("port"),
+            _let(F.when(path == "", F.lit("/")).otherwise(path), _fold).alias("path"),
+        ))
+
+    return _let(u, split)
 
 
 def in_scope(url: Column, base: Column) -> Column:
@@ -106,7 +135,9 @@ def in_scope(url: Column, base: Column) -> Column:
 
     A URL equal to the base is in scope; one that does not parse is not.
     """
-    u, b = normalise(url), normalise(base)
-    below = F.when(b["path"].endswith("/"), b["path"]).otherwise(F.concat(b["path"], F.lit("/")))
-    same = (u["scheme"] == b["scheme"]) & (u["host"] == b["host"]) & u["port"].eqNullSafe(b["port"])
-    return F.coalesce((url == base) | (same & u["path"].startswith(below)), F.lit(False))
+    def keeps(u: Column, b: Column) -> Column:
+        same = (u["scheme"] == b["scheme"]) & (u["host"] == b["host"]) & u["port"].eqNullSafe(b["port"])
+        return same & u["path"].startswith(F.when(b["path"].endswith("/"), b["path"]).otherwise(F.concat(b["path"], F.lit("/"))))
+
+    below = _let(F.struct(normalise(url).alias("u"), normalise(base).alias("b")), lambda x: keeps(x["u"], x["b"]))
+    return F.coalesce((url == base) | below, F.lit(False))

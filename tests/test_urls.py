@@ -23,3 +23,9 @@ def test_scope_after_normalising(spark):
 @pytest.mark.parametrize("url,path", [("http://h/a/./b/../c/", "/a/c/"), ("http://h", "/"), ("http://h/a/%2e%2e", "/"), ("http://h/../../x", "/x")])
 def test_dot_segments(spark, url, path):
     assert spark.range(1).select(normalise(F.lit(url))["path"]).first()[0] == path
+
+
+def test_the_plan_does_not_multiply_the_parse(spark):
+    df = spark.createDataFrame([("http://h/api/a/../b", BASE)], "u string, b string").select(in_scope(F.col("u"), F.col("b")).alias("inside"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("[A-Za-z0-9+.-]*):, 1)") <= 8 and df.first()[0]
