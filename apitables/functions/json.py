@@ -11,6 +11,10 @@ from .text import is_iso_date, is_iso_datetime
 # Three closing brackets in a row, the only way a body can end the wrapping of `with_json` early.
 _CLOSES_WRAPPING = r"\][ \t\r\n]*\][ \t\r\n]*\]"
 
+# Types that a variant converts to exactly if it is an object or an array, whatever these hold. Their content is not
+# walked: a conversion to `variant` rebuilds a value down to its last level.
+_OBJECT, _ARRAY = "struct<_:boolean>", "array<boolean>"
+
 
 def _wrapped(text: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("[[["), text, F.lit(",0]]]")))
@@ -49,7 +53,7 @@ def is_array(value: Column) -> Column:
     """Whether a variant is an array, without walking the elements of a filled one."""
     return F.coalesce(
         F.try_variant_get(value, "$[0]", "variant").isNotNull()
-        | (F.schema_of_variant(value) == "ARRAY<VOID>"),
+        | (F.size(F.try_variant_get(value, "$", _ARRAY)) == 0),
         F.lit(False),
     )
 
@@ -72,6 +76,15 @@ def _kind(shape: Column, text: Column, wide: Column) -> Column:
     )
 
 
+def _shape(value: Column) -> Column:
+    """`schema_of_variant`, except that a container's content is not walked: its schema is OBJECT or ARRAY."""
+    return (
+        F.when(F.try_variant_get(value, "$", _OBJECT).isNotNull(), "OBJECT")
+        .when(F.try_variant_get(value, "$", _ARRAY).isNotNull(), "ARRAY")
+        .otherwise(F.schema_of_variant(value))
+    )
+
+
 def value_kind(value: Column) -> Column:
     """One of null, bool, int, float, string, date, datetime, array, record.
 
@@ -79,7 +92,7 @@ def value_kind(value: Column) -> Column:
     an integer, beyond that a float. Everything written with a point or exponent is a float.
     """
     return _kind(
-        F.schema_of_variant(value),
+        _shape(value),
         F.try_variant_get(value, "$", "string"),
         F.try_variant_get(value, "$", "decimal(38,0)"),
     )
@@ -88,7 +101,7 @@ def value_kind(value: Column) -> Column:
 def with_kind(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add `out`, the `value_kind` of `value`, reading shape and text once per row."""
     return (
-        df.withColumn("_shape", F.schema_of_variant(value))
+        df.withColumn("_shape", _shape(F.col(value)))
         .withColumn("_text", F.when(F.col("_shape") == "STRING", F.try_variant_get(value, "$", "string")))
         .withColumn(out, _kind(F.col("_shape"), F.col("_text"),
                                F.try_variant_get(value, "$", "decimal(38,0)")))

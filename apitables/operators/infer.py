@@ -18,8 +18,10 @@ from ..session import configure, materialize
 from .keyed import ENDPOINT
 from .screen import REC_KEY, unwrap
 
-# Levels that one pass expands; deeper containers are expanded further, by themselves, as many levels at a time.
+# Levels that the first pass expands. Deeper containers are expanded further, by themselves; each round goes twice as deep
+# as the one before, up to LAST_DEPTH levels, so that few rounds write them.
 FIRST_DEPTH = 8
+LAST_DEPTH = 32
 
 # An order key is the record's place followed by up to five array positions inside the record.
 # Positions beyond a field's width count as its last; this can only tie the display order.
@@ -42,7 +44,7 @@ def _leaves(df: DataFrame, keys: Sequence[str], depth: int, base: int = 0) -> Da
     for its ancestors at or below `lead` counts every container exactly once. Rows are never
     filtered here, as a pushed-down filter would repeat the JSON parse.
 
-    With `base` > 0 the records are containers found `base` levels down; `prefix` is their path.
+    With `base` > 0 the records are containers found `base` levels down; `prefix` is their path, or stands for it.
     """
     carried = "".join(f"k{i}, " for i in range(len(keys))) + "rec_key, issue, " + ("prefix, " if base else "")
     named = "".join(f"`{k}` AS k{i}, " for i, k in enumerate(keys)) + f"CAST(rec_key AS {REC_KEY}) AS rec_key, issue, "
@@ -72,29 +74,48 @@ def _path(depth: int, base: int = 0) -> str:
     return f"prefix || {steps}" if base else steps
 
 
+def _path_id(steps: str, base: int) -> str:
+    """What stands for a path of any length: a hash over the id of the prefix and the steps below it, told apart by their lengths."""
+    parts = f"array_join(transform({steps}, s -> length(s) || ':' || s), '')"
+    return f"sha2({'prefix || ' if base else ''}{parts}, 256)"
+
+
 def _hidden(depth: int) -> str:
     """Containers at the last level, whose content was not looked into."""
     return f"s{depth} IS NOT NULL AND kind IN ('record', 'array')"
 
 
-def _profile(df: DataFrame, keys: Sequence[str], depth: int, base: int = 0) -> DataFrame:
-    """(keys, leaf path, kind, lead) with counts and first order key; see `_leaves`."""
+def _counted(df: DataFrame, keys: Sequence[str], depth: int, base: int = 0) -> DataFrame:
+    """(keys, path below the prefix, kind, lead) of `_opened` leaves with counts and first order key."""
     group = "".join(f"k{i}, " for i in range(len(keys))) + ("prefix, " if base else "") + ", ".join(_steps(depth))
     query = f"""
-        SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))}
-               {_path(depth, base)} AS path, kind, issue, hidden, lead, n, first_ord
+        SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))} {"prefix, " if base else ""}
+               {_path(depth)} AS path, kind, issue, hidden, lead, n, first_ord
         FROM (SELECT {group}, kind, issue, hidden, lead, count(*) AS n, min(ord) AS first_ord
-              FROM (SELECT {group}, coalesce(issue, kind) AS kind, issue IS NOT NULL AS issue,
-                           {_hidden(depth)} AS hidden, lead,
+              FROM (SELECT {group}, coalesce(issue, kind) AS kind, issue IS NOT NULL AS issue, hidden, lead,
                            CAST(rec_key * CAST({_RECORD_UNIT} AS DECIMAL(18,0))
                                 + CAST(place AS DECIMAL(17,0)) AS {ORDER}) AS ord
                     FROM {{leaves}})
               GROUP BY {group}, kind, issue, hidden, lead)"""
-    return df.sparkSession.sql(query, leaves=with_kind(_leaves(df, keys, depth, base), "v", "kind"))
+    return df.sparkSession.sql(query, leaves=df)
+
+
+def _opened(df: DataFrame, keys: Sequence[str], depth: int, base: int = 0) -> DataFrame:
+    """`_leaves` with their kind, whether they are hidden, and no variants but those."""
+    return df.sparkSession.sql(f"SELECT * EXCEPT (v), {_hidden(depth)} AS hidden, IF({_hidden(depth)}, v, NULL) AS v FROM {{leaves}}",
+                               leaves=with_kind(_leaves(df, keys, depth, base), "v", "kind"))
+
+
+def _below(df: DataFrame, keys: Sequence[str], depth: int, base: int) -> DataFrame:
+    """The hidden ones of `_opened` leaves, as records to expand further under the id of their path."""
+    return df.sparkSession.sql(f"""
+        SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))} rec_key, issue,
+               {_path_id(f"array({', '.join(_steps(depth))})", base)} AS prefix, v AS record, lead, nest, place
+        FROM {{leaves}} WHERE hidden""", leaves=df)
 
 
 def _frontier(df: DataFrame, keys: Sequence[str], depth: int, base: int) -> DataFrame:
-    """The containers `_profile` reports as hidden, as records to expand further."""
+    """The hidden containers, as records to expand further under their path."""
     return df.sparkSession.sql(f"""
         SELECT {"".join(f"k{i} AS `{k}`, " for i, k in enumerate(keys))} rec_key, issue,
                {_path(depth, base)} AS prefix, v AS record, lead, nest, place
@@ -119,25 +140,41 @@ def profile(df: DataFrame, keys: Sequence[str] = ENDPOINT, depth: int | None = N
         raise ValueError(f"rename the key column `{min(taken)}`; the schema relation has a column of that name")
     configure(df.sparkSession)
     if depth is not None:
-        leaves = _profile(df, keys, depth).withColumn(
+        leaves = _counted(_opened(df, keys, depth), keys, depth).withColumn(
             "kind", F.when(F.col("hidden"), F.raise_error(F.lit("a record is nested deeper than depth")))
             .otherwise(F.col("kind")))
         return _count_containers(leaves, keys)
-    base, part, rounds = 0, df, []
-    while True:
-        leaves = materialize(_profile(part, keys, FIRST_DEPTH, base))
-        deep = leaves.filter("hidden")
-        if deep.isEmpty():
-            rounds.append(leaves)
-            break
-        rounds.append(leaves.filter("NOT hidden"))
-        part, base = materialize(_frontier(part, keys, FIRST_DEPTH, base)), base + FIRST_DEPTH
-    whole = rounds[0]
-    for more in rounds[1:]:
+    depth, base = FIRST_DEPTH, 0
+    opened = _opened(df, keys, depth)
+    rounds = [materialize(_counted(opened, keys, depth))]
+    while not rounds[-1].filter("hidden").isEmpty():
+        # Deep containers carry an id of their path, however long that is; the distinct paths are kept beside them.
+        paths = materialize(_paths(rounds[-1], base))
+        part, base, depth = materialize(_below(opened, keys, depth, base)), base + depth, min(2 * depth, LAST_DEPTH)
+        # What a further round needs too is written once, as expanding it again would cost more.
+        opened = materialize(_opened(part, keys, depth, base))
+        rounds.append(materialize(_whole(_counted(opened, keys, depth, base), paths)))
+    shown = [r.filter("NOT hidden").drop("prefix", "below") for r in rounds]
+    whole = shown[0]
+    for more in shown[1:]:
         whole = whole.unionByName(more)
     return _count_containers(whole, keys)
 
 
+def _whole(leaves: DataFrame, paths: DataFrame) -> DataFrame:
+    """Leaves counted under path ids, with their whole path; `below` is what the round found."""
+    return leaves.sparkSession.sql("""
+        SELECT l.* EXCEPT (path), l.path AS below, p.prefix_path || l.path AS path
+        FROM {leaves} l JOIN {paths} p ON l.prefix = p.prefix""", leaves=leaves, paths=paths)
+
+
+def _paths(leaves: DataFrame, base: int) -> DataFrame:
+    """(prefix, prefix_path): the ids of the hidden paths of a round."""
+    return leaves.sparkSession.sql(f"""
+        SELECT {_path_id("below" if base else "path", base)} AS prefix, path AS prefix_path
+        FROM (SELECT DISTINCT {"prefix, below, " if base else ""} path FROM {{leaves}} WHERE hidden)""", leaves=leaves)
+
+
 # The ancestors of a leaf it is counted for, and itself: `len` steps of its path. The kind of an
 # ancestor follows from the step below it.
 _ANCESTORS = """explode(IF({issue}, array(0), sequence(least(lead, size(path)), size(path)))) AS len"""

@@ -58,12 +58,14 @@ def detect_envelope(df: DataFrame, value: str = "v") -> DataFrame:
     A top-level array is the record set. An object with exactly one array field is an envelope
     and that field is the record set. For anything else both are NULL: the body is one record.
     """
-    fields = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    arrays = df.withColumn("_arrays", F.filter(fields, lambda e: is_array(e["value"])))
+    # Fields that are no arrays become NULL here, without a look at what they hold.
+    fields = F.map_entries(F.try_variant_get(value, "$", "map<string,array<boolean>>"))
+    arrays = df.withColumn("_arrays", F.filter(fields, lambda e: e["value"].isNotNull()))
     only = F.when(F.size("_arrays") == 1, F.col("_arrays")[0])
     return (
         arrays.withColumn("envelope", only["key"])
-        .withColumn("record_set", F.when(F.col("_arrays").isNotNull(), only["value"])
+        .withColumn("record_set", F.when(F.col("_arrays").isNotNull(), F.when(
+            F.size("_arrays") == 1, F.element_at(F.try_variant_get(value, "$", "map<string,variant>"), only["key"])))
                     .when(is_array(F.col(value)), F.col(value)))
         .drop("_arrays")
     )

@@ -212,3 +212,17 @@ def test_issue_rows_are_counted(spark):
     rows = profile(unwrap(df)).filter("issue").collect()
     assert {(r.endpoint, r.kind, r.n) for r in rows} == {("a", "status", 1), ("b", "json 200 application/json", 1), ("c", "empty", 1)}
     assert path_stats(profile(unwrap(df))).count() == 2
+
+
+def test_few_rounds_write_deep_containers(spark, monkeypatch):
+    from apitables.operators import infer
+
+    written, write = [], infer.materialize
+    monkeypatch.setattr(infer, "materialize", lambda df: written.append(df.schema) or write(df))
+    deep = {"key": 1, "": [{"a.b": None}]}
+    for i in range(40):
+        deep = {"d": deep} if i % 9 else {"d": [deep, i]}
+    found = schema_of(spark, [deep, {"d": 1}])
+    frontiers = [s for s in written if "record" in s.names]
+    assert len(frontiers) == 2 and all(s["prefix"].dataType.simpleString() == "string" for s in frontiers)
+    assert len(found) == 1 + 40 + 5 + 4
