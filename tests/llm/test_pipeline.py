@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 from apitables.llm.oracles import ORACLES
@@ -74,3 +75,21 @@ def test_near_dedup_decides_by_row(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string").repartition(parts)
         got = corpus_pipeline.near_dedup(spark, docs, SF)
         assert got.columns == docs.columns and sorted((tuple(r)[:2] for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_stages_bound_arrow_batches(spark):
+    def rows(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.num_rows], pa.int64())})
+
+    setting = corpus_pipeline.BATCH_SETTING
+    before = spark.conf.get(setting)
+    docs = spark.createDataFrame([(i, f"w{i} dog", "en") for i in range(2500)], "doc_id long, text string, lang string").coalesce(1)
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:2] + corpus_pipeline.STAGES[-1:]:
+            for given, most in (("10000", 1000), ("0", 1000), ("70", 70)):
+                spark.conf.set(setting, given)
+                stage(spark, docs, SF)
+                assert max(r["n"] for r in docs.mapInArrow(rows, "n long").collect()) == most
+    finally:
+        spark.conf.set(setting, before)
