@@ -1,5 +1,9 @@
+import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from apitables.llm import collocations
 
 
@@ -78,3 +82,22 @@ def test_runs_flush_without_changing_counts(monkeypatch):
     monkeypatch.setattr(collocations, "RUN", 5)
     pieces = list(collocations._stripes(iter([batch])))
     assert len(pieces) > 2 and _entries(pieces) == whole
+
+
+def test_rare_parts_are_not_spread(spark, monkeypatch):
+    """Stripes of longer prefixes are made of phrases whose parts are frequent, whatever shares a bit of the sieves."""
+    rng = random.Random(7)
+    vocabulary = [f"W{i}" for i in range(40)]
+    rows = [(rng.choice(["en", "de", None]), rng.choice([" ", "  ", "\t", ". "]).join(rng.choices(vocabulary, [1 / (i + 1) for i in range(40)], k=60)), None, None) for _ in range(60)]
+    rows += [("en", f"once{i} a b c once{i}x, \u00c4\u00df{i}\x0bz.", None, None) for i in range(300)]
+    want = brute([r[:2] for r in rows], least=8)
+    assert run(spark, rows, least=8) == want
+    df = spark.createDataFrame(rows, "lang string, text string, n string, phrase string")
+    f = {(r["lang"], *r["prefix"].split(), r["next"]): r["f"] for r in collocations.merged_stripes(df, least=8).where("next IS NOT NULL").collect()}
+    assert f["en", "a", "b", "c"] == 300 and min(f.values()) >= 8
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 300, "text": [r[1] for r in rows[-300:]]})
+    words = collocations._words(batch)
+    one = collocations._sieve(spark.createDataFrame([(int(h),) for h in collocations._hashes(words, 1, np.flatnonzero(np.isin(words.which, words.which[1:4]))).view(np.int64)], "h long"))
+    assert set(_entries(collocations._stripes(iter([batch]), [one]))) == {("en", "a", "b"), ("en", "b", "c")}
+    monkeypatch.setattr(collocations, "SIEVE_LOG2", 6)
+    assert run(spark, rows, least=8) == want
