@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,11 @@ class Words:
     langs: list[str]
     lang: np.ndarray
 
+    @cached_property
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of `names` and of `langs`."""
+        return _digests(self.names.to_pylist()), _digests(self.langs)
+
 
 def _words(part: pa.RecordBatch) -> Words:
     data, offsets = utf8(part.column("text"))
@@ -85,7 +91,7 @@ def _digests(values: list[bytes]) -> np.ndarray:
 
 def _hashes(words: Words, n: int, at: np.ndarray) -> np.ndarray:
     """Hashes of the n words from each place in `at` on, and their language."""
-    own, lang = _digests(words.names.to_pylist()), _digests(words.langs)
+    own, lang = words.hashes
     return mix(chained([own[words.which[at + j]] for j in range(n)]) ^ lang[words.lang[at]])
 
 
