@@ -12,7 +12,7 @@ def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -22,22 +22,31 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, class) for every node of `links` (u, v); the class is its least node.
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether a node has two links to smaller nodes, or has one and is the smaller node of another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    sums = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return bool(sums.agg(F.max((F.col("down") > 1) | (F.col("down") * F.col("up") > 0))).first()[0])
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(u, v) for every node u of `links` (u, v) that is not the least of its class; v is that least node.
 
     A hot node is only ever met by sums with map-side combine and by joins that adaptive execution splits; no neighbour
-    list is built. Links from a node to itself give that node a class of its own; null ends take no part.
+    list is built. Links from a node to itself and null ends take no part.
     """
-    ends = links.where("u IS NOT NULL AND v IS NOT NULL")
-    alone = ends.where("u = v").select("u")
-    edges = materialize(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        mark = edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+    edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while _unfinished(edges):
         edges = materialize(_small(_large(edges)))
+    return edges
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, class) for every node of `links` (u, v); the class is its least node.
+
+    Links from a node to itself give that node a class of its own; null ends take no part.
+    """
+    edges = stars(links)
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
-    roots = edges.select("v").unionByName(alone.select(F.col("u").alias("v"))).distinct().select(F.col("v").alias("node"))
+    roots = edges.select(F.col("v").alias("node")).unionByName(links.where("u = v").select(F.col("u").alias("node"))).distinct()
     return found.unionByName(roots.join(found, "node", "left_anti").select("node", F.col("node").alias("class")))

@@ -7,7 +7,7 @@ A candidate is a link if its weighted or its plain Jaccard similarity reaches th
 of edited copies in large groups, whose common shingles weigh less than the edits.
 
 Rows with the same text are one node. Nodes that share a band meet in a bucket. A bucket is worked off in rounds: its
-first nodes are compared with all its members of other classes, then they leave it; the classes are merged, and
+first nodes are compared with all its members of other classes that a bound does not rule out, then they leave it; the classes are merged, and
 buckets whose members are all in one class are done. So every two members are compared or already connected, no pairs
 are made within a group beyond these, and a bucket of copies costs one comparison for each member. Members of large
 buckets that a bound shows to be unlike all others there leave beforehand.
@@ -16,15 +16,16 @@ buckets that a bound shows to be unlike all others there leave beforehand.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from apitables.llm.components import components
+from apitables.llm.components import stars
 from apitables.llm.texts import mix, shingles, slices, utf8, words
 from apitables.session import materialize
 
@@ -33,9 +34,11 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 SLOTS_LOG2 = 20
 POOL_LOG2 = 16
-#: Members that one leader's chunk holds in the comparison; leaders of a bucket in the first round (times 8 in each next
-#: one); members beyond which a bucket is thinned out first.
-CHUNK, LEADERS, HOT = 500, 1, 32
+#: Members that one leader's chunk holds in the comparison; leaders of a bucket in the first round, and how many times
+#: as many in each next one; members beyond which a bucket is thinned out first.
+CHUNK, LEADERS, GROWTH, HOT = 500, 1, 64, 32
+#: Bits of the set of a text's shingles that tells how many of them another text lacks at least.
+SKETCH_LOG2 = 10
 #: Bits of the set that keeps most documents without candidates out of the shuffle of bags.
 SIEVE_LOG2 = 24
 
@@ -100,7 +103,7 @@ def inverse_frequencies(df: DataFrame, text: str, shingle: int = SHINGLE) -> np.
 
 
 def signatures(df: DataFrame, key: str, text: str, idf, shingle: int = SHINGLE) -> DataFrame:
-    """id, hash of the text in two halves, total weight and number of distinct shingles, band hashes; without words: no bands; null text: null halves."""
+    """id, hash of the text in two halves, total weight and number of distinct shingles, band hashes, a bit set of the shingles; without words: no bands; null text: null halves."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -113,20 +116,25 @@ def signatures(df: DataFrame, key: str, text: str, idf, shingle: int = SHINGLE)
             ids = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
             halves = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
             filled = np.flatnonzero(np.diff(at))
+            sketch = np.zeros((part.num_rows, 1 << SKETCH_LOG2), bool)
             samples, weight, size = np.zeros((len(filled), BANDS, ROWS), np.uint64), np.zeros(part.num_rows, np.float64), np.zeros(part.num_rows, np.int64)
             for i, d in enumerate(filled.tolist()):
                 u, _, w = bag(hashes[at[d] : at[d + 1]], table)
                 samples[i] = sample(u, np.log(w)).reshape(BANDS, ROWS)
                 weight[d], size[d] = w.sum(dtype=np.float64), len(u)
+                # The low 32 bits are what bags compare.
+                sketch[d, (u & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - SKETCH_LOG2)] = True
             band = np.broadcast_to(tag, samples.shape[:2])
             for j in range(ROWS):
                 band = mix(band * np.uint64(31) + samples[:, :, j])
             ends = np.zeros(part.num_rows + 1, np.int32)
             ends[1:][filled] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(band.reshape(-1).view(np.int64)))
-            yield pa.record_batch({"id": part.column(key).cast(pa.int64()), "h1": pa.array(halves[:, 0], mask=null), "h2": pa.array(halves[:, 1], mask=null), "weight": pa.array(weight), "size": pa.array(size), "bands": bands})
+            starts = np.arange(part.num_rows + 1, dtype=np.int32) << SKETCH_LOG2 - 6
+            sketches = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.packbits(sketch, axis=1).reshape(-1).view(np.int64)))
+            yield pa.record_batch({"id": part.column(key).cast(pa.int64()), "h1": pa.array(halves[:, 0], mask=null), "h2": pa.array(halves[:, 1], mask=null), "weight": pa.array(weight), "size": pa.array(size), "bands": bands, "sketch": sketches})
 
-    return df.select(key, text).mapInArrow(sign, "id bigint, h1 bigint, h2 bigint, weight double, size bigint, bands array<bigint>")
+    return df.select(key, text).mapInArrow(sign, "id bigint, h1 bigint, h2 bigint, weight double, size bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def bags(df: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
@@ -163,14 +171,13 @@ def bags(df: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int = S
 
 
 def _bounded(members: DataFrame, found: DataFrame, idf, threshold: float) -> DataFrame:
-    """`members` with `shared` and `common`, the weight and the number of shingles that a node can have in common with
+    """`members` with `shared` and `common` in place of `n`, the members of the bucket: the weight and the number of shingles that a node can have in common with
     another member of its bucket at most.
 
     In large buckets they leave out the shingles that no other node of the large buckets has; nodes that keep less than
     the threshold's share of both go. So pairs of far variants of one text, which are many and in vain, are not compared.
     """
-    large = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket")
-    inside = materialize(members.join(large, "bucket"))
+    inside = members.where(F.col("n") > HOT)
     nodes = inside.select("node").distinct()
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +199,8 @@ def _bounded(members: DataFrame, found: DataFrame, idf, threshold: float) -> Dat
     alone = own.groupBy("node").agg(F.sum("share").alias("share"), F.count("*").alias("own"))
     left, common = F.lit(1.0) - F.coalesce("share", F.lit(0.0)), F.col("size") - F.coalesce("own", F.lit(0))
     least = threshold * (1 - 1e-6)
-    kept = inside.join(alone, "node", "left").where((left >= least) | (common >= least * F.col("size"))).select("bucket", "node", "weight", "size", "bands", (left * F.col("weight")).alias("shared"), common.alias("common"))
-    return members.join(large, "bucket", "left_anti").select("bucket", "node", "weight", "size", "bands", F.col("weight").alias("shared"), F.col("size").alias("common")).unionByName(kept)
+    kept = inside.join(alone, "node", "left").where((left >= least) | (common >= least * F.col("size"))).select("bucket", "node", "weight", "size", "bands", "sketch", (left * F.col("weight")).alias("shared"), common.alias("common"))
+    return members.where(F.col("n") <= HOT).select("bucket", "node", "weight", "size", "bands", "sketch", F.col("weight").alias("shared"), F.col("size").alias("common")).unionByName(kept)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -213,16 +220,17 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verified(pairs: DataFrame, found: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted or plain Jaccard similarity reaches the threshold, as links (u, v).
+    """The links (u, v) of the pairs (a, b, u, v) of nodes a, b whose weighted or plain Jaccard similarity reaches the threshold.
 
     A leader's members are dealt over chunks of some CHUNK rows, and its own bag is sent to each chunk once; a task
     streams over them in order and holds one leader at a time.
     """
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
-    members = dealt.join(found.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "items", "counts")
-    heads = chunks.join(found.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(None).cast("bigint").alias("b"), "items", "counts")
-    rows = members.unionByName(heads).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    none = F.lit(None).cast("bigint")
+    members = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), "b", "u", "v", F.col("b").alias("node"))
+    heads = chunks.select("a", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), none.alias("b"), none.alias("u"), none.alias("v"), F.col("a").alias("node"))
+    rows = members.unionByName(heads).join(found, "node").select("a", "chunk", "b", "u", "v", "items", "counts")
+    rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -237,33 +245,44 @@ def verified(pairs: DataFrame, found: DataFrame, idf, threshold: float) -> DataF
             columns = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
                 a, b = columns[0][i].as_py(), columns[2][i].as_py()
-                bag_ = side(columns[3][i].as_buffer(), columns[4][i].as_buffer())
+                bag_ = side(columns[5][i].as_buffer(), columns[6][i].as_buffer())
                 if b is None:
                     head = a, bag_
                 elif head and head[0] == a and similarity(head[1], bag_) >= threshold:
-                    left.append(a)
-                    right.append(b)
+                    left.append(columns[3][i].as_py())
+                    right.append(columns[4][i].as_py())
             yield pa.record_batch({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
 
     return rows.mapInArrow(compare, "u bigint, v bigint")
 
 
-def _unresolved(members: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """Members with their class, of the buckets that hold more than one class."""
-    if classes is None:
-        own = members.withColumn("class", F.col("node"))
-    else:
-        own = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = own.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-    return own.join(mixed, "bucket")
+def _differing(a: str, b: str) -> Column:
+    """How many shingles only one of the bit sets `a` and `b` has, at least."""
+    return reduce(add, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1 << SKETCH_LOG2 - 6)))
+
+
+def _unresolved(members: DataFrame) -> DataFrame:
+    """`members` with the largest class of their bucket as `main`, of the buckets that hold more than one class."""
+    sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "main")
+    return members.join(mixed, "bucket")
+
+
+def _moved(members: DataFrame, merge: DataFrame) -> DataFrame:
+    """`members` with the classes of `merge` (class, into) replaced by those that they went into."""
+    return members.join(merge, "class", "left").withColumn("class", F.coalesce("into", "class")).drop("into")
+
+
+def _order() -> list[Column]:
+    """Members of a bucket's largest class come before others: they are compared with the fewest."""
+    return [F.col("class") != F.col("main"), F.col("node")]
 
 
 def _leaders(todo: DataFrame, n: int) -> DataFrame:
-    """The first n members of each bucket, those of its largest class before others: they are compared with the fewest."""
-    sizes = todo.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("class", F.col("n")).alias("main"))
-    order = Window.partitionBy("bucket").orderBy(F.col("class") != F.col("main"), "node")
-    return todo.join(main, "bucket").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place", "main")
+    """The first n members of each bucket, and the place in the order where the last of them stands."""
+    bucket = Window.partitionBy("bucket")
+    first = todo.withColumn("at", F.row_number().over(bucket.orderBy(*_order()))).where(F.col("at") <= n).drop("at")
+    return first.withColumn("last", F.max(F.struct(*_order())).over(bucket))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -277,35 +296,38 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     idf = spark.sparkContext.broadcast(inverse_frequencies(df, text, shingle))
     signed = materialize(signatures(df, key, text, idf, shingle))
     nodes = signed.where("id IS NOT NULL AND h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("node"))
-    signed = materialize(signed.join(nodes, ["h1", "h2"], "left").select("id", F.coalesce("node", "id").alias("node"), "weight", "size", "bands"))
+    signed = materialize(signed.join(nodes, ["h1", "h2"], "left").select("id", F.coalesce("node", "id").alias("node"), "weight", "size", "bands", "sketch"))
 
-    every = signed.where("id = node").select("node", "weight", "size", "bands").distinct().withColumn("bucket", F.explode("bands"))
-    shared = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    every = signed.where("id = node").select("node", "weight", "size", "bands", "sketch").distinct().withColumn("bucket", F.explode("bands"))
+    shared = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
     members = materialize(every.join(shared, "bucket"))
     found = materialize(bags(df, materialize(members.select("node").distinct()), key, text, shingle))
     members = materialize(_bounded(members, found, idf, threshold))
 
-    classes, leaders = None, LEADERS
-    todo = materialize(_unresolved(members, None))
+    merges, leaders = [], LEADERS
+    todo = materialize(_unresolved(members.withColumn("class", F.col("node"))))
     while not todo.isEmpty():
         lead = materialize(_leaders(todo, leaders))
-        heads = lead.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("weight").alias("weight_a"), F.col("shared").alias("shared_a"), F.col("size").alias("size_a"), F.col("common").alias("common_a"), F.col("bands").alias("bands_a"))
-        # Similarity is at most what two nodes can share over what is left of both weights, or of both sets.
-        least = F.lit(threshold / (1 + threshold) * (1 - 1e-6))
-        near = F.least("shared", "shared_a", "weight", "weight_a") >= least * (F.col("weight") + F.col("weight_a"))
-        near |= F.least("common", "common_a", "size", "size_a") >= least * (F.col("size") + F.col("size_a"))
+        heads = lead.select("bucket", F.col("node").alias("a"), "last", *[F.col(c).alias(f"{c}_a") for c in ("class", "weight", "shared", "size", "common", "bands", "sketch")])
+        # Similarity is at most what two nodes can share over what is left of both weights, or of both sets. A shingle
+        # that only one of them has weighs 1 at least; counting these costs more, so it comes last.
+        least, most = F.lit(threshold / (1 + threshold) * (1 - 1e-6)), F.lit((1 - threshold) / (1 + threshold) * (1 + 1e-6))
+        weights, sizes = F.col("weight") + F.col("weight_a"), F.col("size") + F.col("size_a")
+        weighted = F.least("shared", "shared_a", "weight", "weight_a") >= least * weights
+        plain = F.least("common", "common_a", "size", "size_a") >= least * sizes
+        alike = _differing("sketch", "sketch_a") <= F.greatest(F.when(weighted, most * weights), F.when(plain, most * sizes))
         # Of two leaders of a bucket, the one with the smaller id is the head.
-        marked = todo.join(lead.select("bucket", "node", F.lit(True).alias("leads")), ["bucket", "node"], "left")
-        other = (F.col("class_a") != F.col("class")) & (F.col("leads").isNull() | (F.col("a") < F.col("node")))
+        other = (F.col("class_a") != F.col("class")) & ((F.struct(*_order()) > F.col("last")) | (F.col("a") < F.col("node")))
         # Two nodes may share many buckets; the first of these is theirs.
         own = F.col("bucket") == F.element_at(F.array_intersect("bands", "bands_a"), 1)
-        pairs = heads.join(marked, "bucket").where(other & near & own).select("a", F.col("node").alias("b"))
-        links = verified(materialize(pairs.distinct()), found, idf, threshold)
-        if classes is not None:
-            links = links.unionByName(classes.select(F.col("node").alias("u"), F.col("class").alias("v")))
-        classes = materialize(components(materialize(links)))
-        rest = todo.drop("class").join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti")
-        todo = materialize(_unresolved(rest, classes))
-        leaders *= 8
-    own = signed.withColumn("class", F.col("node")) if classes is None else signed.join(classes, "node", "left")
-    return own.select("id", F.when(F.col("id").isNotNull(), F.coalesce("class", "node")).alias("class_id"))
+        pairs = heads.join(todo, "bucket").where(other & (weighted | plain) & own & alike).select("a", F.col("node").alias("b"), F.col("class_a").alias("u"), F.col("class").alias("v"))
+        # Links are between classes, so a round handles none of the nodes that earlier ones have merged.
+        merged = stars(materialize(verified(materialize(pairs.distinct()), found, idf, threshold)))
+        merges.append(merged.select(F.col("u").alias("class"), F.col("v").alias("into")))
+        rest = todo.drop("main").join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        todo = materialize(_unresolved(_moved(rest, merges[-1])))
+        leaders *= GROWTH
+    own = signed.withColumn("class", F.col("node"))
+    for merge in merges:
+        own = _moved(own, merge)
+    return own.select("id", F.when(F.col("id").isNotNull(), F.col("class")).alias("class_id"))

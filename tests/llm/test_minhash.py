@@ -1,8 +1,10 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 
+from apitables.llm import components as links
 from apitables.llm import minhash
 from apitables.llm.components import components
 
@@ -70,6 +72,36 @@ def test_edited_copies_in_a_large_group(spark, monkeypatch, hot):
     assert got == brute.classes(rows)
 
 
+def test_far_variants_take_few_rounds_and_comparisons(spark, monkeypatch):
+    """Variants of one text that share its buckets: a bound on their shingles rules most pairs out before bags are read."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    base = rng.choices(vocabulary, k=120)
+    texts = []
+    for n in [1] * 20 + [5, 6, 7] * 60:
+        near = list(base)
+        for at in rng.sample(range(120), n):
+            near[at] = rng.choice(vocabulary)
+        texts += [" ".join(near)]
+    rows = list(enumerate(texts))
+    pairs, verified = [], minhash.verified
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    got = dict(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    sets = [brute.shingles(t) for t in texts]
+    for i, c in got.items():
+        assert c == got[c] <= i
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b]):
+            assert got[a] == got[b]
+    assert len({got[i] for i in range(20)}) == 1
+    assert len(pairs) <= 3 and sum(pairs) <= 400
+
+
 def test_samples_agree_as_often_as_weights():
     rng = np.random.default_rng(1)
     rates = []
@@ -106,3 +138,10 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
+
+
+def test_links_that_are_stars_are_not_walked(spark, monkeypatch):
+    monkeypatch.setattr(links, "_large", None)
+    stars = [(1, i) for i in range(2, 40)] + [(50, 41), (41, 60), (70, 70), (None, 1), (1, 2)]
+    got = {r[0]: r[1] for r in components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {i: 1 for i in range(1, 40)} | {41: 41, 50: 41, 60: 41, 70: 70}
