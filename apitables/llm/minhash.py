@@ -298,9 +298,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     nodes = signed.where("id IS NOT NULL AND h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("node"))
     signed = materialize(signed.join(nodes, ["h1", "h2"], "left").select("id", F.coalesce("node", "id").alias("node"), "weight", "size", "bands", "sketch"))
 
-    every = signed.where("id = node").select("node", "weight", "size", "bands", "sketch").distinct().withColumn("bucket", F.explode("bands"))
-    shared = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-    members = materialize(every.join(shared, "bucket"))
+    # Bands meet with a hash of their row; what else the row has joins those that meet another.
+    every = signed.where("id = node").select("node", "weight", "size", "bands", "sketch").distinct().withColumn("mark", F.xxhash64("weight", "size", "bands", "sketch"))
+    placed = every.select("node", "mark", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+    members = materialize(placed.join(shared, "bucket").join(every, ["node", "mark"]).drop("mark"))
     found = materialize(bags(df, materialize(members.select("node").distinct()), key, text, shingle))
     members = materialize(_bounded(members, found, idf, threshold))
 
